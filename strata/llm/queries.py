@@ -69,7 +69,7 @@ ORACLE_SQL: dict[str, str] = {
                 WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
                 WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM q),
         w AS (SELECT *, list_distinct(string_split_regex(lower(host || path), '[^a-z0-9]+')) AS words FROM r),
-        s AS (SELECT *, len(list_filter(words, x -> x IN ({strict}))) AS strict_n, len(list_filter(words, x -> x IN ({soft}))) AS soft_n FROM w)
+        s AS (SELECT *, len(list_filter(words, lambda x: x IN ({strict}))) AS strict_n, len(list_filter(words, lambda x: x IN ({soft}))) AS soft_n FROM w)
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
                     WHEN strict_n > 0 OR soft_n >= 2 THEN 'block' ELSE 'allow' END AS verdict,

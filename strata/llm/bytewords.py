@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(1)
+@lru_cache(4)
 def _tables(longest: int) -> tuple[np.ndarray, np.ndarray]:
     code = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
     for b in range(65, 91):
@@ -45,6 +45,16 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
+    total = np.cumsum(lens)
+    if total[-1] > _SEGMENT and len(lens) > 1:  # bounded memory for long texts
+        cuts = [0, *(int(np.searchsorted(total, t)) for t in range(_SEGMENT, int(total[-1]), _SEGMENT)), len(lens)]
+        parts = [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+        if len(parts) > 1:
+            return np.concatenate([_hash_runs(data, starts[a:b], ends[a:b], lens[a:b]) for a, b in parts])
+    return _hash_runs(data, starts, ends, lens)
+
+
+def _hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lens: np.ndarray) -> np.ndarray:
     longest = 1 << max(12, int(lens.max() - 1).bit_length())
     code, power = _tables(longest)
     first = np.concatenate(([0], np.cumsum(lens)[:-1]))
@@ -53,8 +63,8 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(code[data[at]] * power[within], first) + lens.astype(np.uint64))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words of one text, in order. Works through long texts piece by piece."""
+def word_hashes(text) -> np.ndarray:
+    """Hashes of the words of one text (bytes or an Arrow buffer), in order. Works through long texts piece by piece."""
     data, out, at = np.frombuffer(text, np.uint8), [], 0
     while at < len(data):
         end = min(len(data), at + _SEGMENT)
@@ -78,16 +88,8 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def text_chunks(column, max_bytes: int = 1 << 21):
-    """Yield (first row, list of bytes or None) of an Arrow string column, bounded by size."""
-    rows, at, size = [], 0, 0
-    for k in range(len(column)):
-        s = column[k].as_py()
-        b = None if s is None else s.encode("utf-8", "surrogatepass")
-        rows.append(b)
-        size += len(b or b"")
-        if size >= max_bytes:
-            yield at, rows
-            rows, at, size = [], k + 1, 0
-    if rows:
-        yield at, rows
+
+def utf8(scalar):
+    """The UTF-8 bytes of an Arrow string value without a copy; None where null or empty."""
+    b = scalar.as_buffer() if scalar.is_valid else None
+    return b if b is not None and b.size else None

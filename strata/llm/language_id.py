@@ -155,7 +155,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def predict(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` of df, then lang_pred, score, rejected. Reads no column but text."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # dims x centroids floats, set by parameters
 
@@ -171,7 +171,7 @@ def predict(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             )
 
     names = [f"c{k}" for k in range(len(keep))]
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col("text").alias("__text"))
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
     out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score", "rejected")

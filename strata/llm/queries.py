@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, language_id, quality, token_files, url_filter
+from strata.llm import chat, chosen_path, decontaminate, language_id, mixture, nn_descent, quality, token_files, token_rollup, url_filter
+from strata.llm.scratch import Scratch
 
 
 def vocabulary() -> str:
@@ -27,14 +28,37 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model)
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item that a document holds; such documents are not kept."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("kept", F.lit(False))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.plan(table(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after the load batch and its replay, which changes nothing."""
+    rollup = token_rollup.Rollup(spark, Scratch(spark, "rollup").base)
+    load = token_rollup.inserts(token_rollup.count_tokens(table(spark, sf_dir, "documents"), vocabulary(), "word_bpe_49k"))
+    for _ in range(2):
+        rollup.commit("load-documents", load)
+    return rollup.totals()
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(
@@ -49,12 +73,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.withColumn("held_out", language_id.held_out()), model, ["doc_id", "held_out"])
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_ordinal": op1,
+    "op2_decontaminate": op2,
     "op3_token_files": op3,
+    "op4_embedding_dedup": op4,
+    "op5_mixture": op5,
     "op6_url_filter": op6,
+    "op7_token_rollup": op7,
     "op8_chat_format": op8,
     "op9_language_id": op9,
+    "op10_minhash_dedup": op10,
 }
 
 ORACLE_SQL: dict[str, str] = {

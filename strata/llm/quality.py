@@ -1,8 +1,9 @@
 """Quality by ordinal regression: a cumulative-link model on hashed text.
 
 P(grade >= k) = sigmoid(w.x - t_k) with one weight vector w for all grades and thresholds
-t_1 < t_2 < ...; x holds, for the whole text, which hashed words and which hashed byte
-trigrams occur, scaled to length 1. Expected grade is the sum of the tail probabilities;
+t_1 < t_2 < ...; x holds, for the whole text, which hashed words occur and which hashed
+byte trigrams, these scaled to length 1. Buckets whose share does not differ between
+grades by `least_z` standard errors have no weight. Expected grade is the sum of the tail probabilities;
 selection uses the tail probability of one grade.
 
 Fitted on at most about `sample` graded texts, chosen by a hash of the text. Scores are
@@ -24,76 +25,100 @@ from pyspark.sql import functions as F
 
 from strata.llm.bytewords import word_hashes
 
+TRIGRAMS = 1 << 16  # buckets of byte trigrams
+WORD_VALUE = 3.0  # of a word that occurs, beside trigrams scaled to length 1
 #: Signs that end a word are blanked before words are hashed.
 _STRIP = bytes(0x20 if chr(b) in ".,;:!?\"()" else b for b in range(256))
 
 
-def buckets(text: str | None, bits: int) -> np.ndarray:
-    """Sorted distinct buckets of a text: words in the lower half, byte trigrams in the upper."""
+def buckets(text: str | None, word_bits: int) -> np.ndarray:
+    """Sorted distinct buckets of a text: byte trigrams below TRIGRAMS, words from there on."""
     if not text:
         return np.zeros(0, np.int32)
     data = text.encode("utf-8", "surrogatepass")
-    half = 1 << (bits - 1)
-    seen = np.zeros(2 * half, bool)
-    seen[(word_hashes(data.translate(_STRIP)) >> np.uint64(65 - bits)).astype(np.intp)] = True
+    words = np.unique((word_hashes(data.translate(_STRIP)) >> np.uint64(64 - word_bits)).astype(np.int32))
+    seen = np.zeros(TRIGRAMS, bool)
     for at in range(0, len(data), 1 << 21):
         b = np.frombuffer(data[at : at + (1 << 21) + 2], np.uint8).astype(np.uint32)
         if len(b) >= 3:
             h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            seen[half + (h >> np.uint32(33 - bits)).astype(np.intp)] = True
-    return np.flatnonzero(seen).astype(np.int32)
+            seen[(h >> np.uint32(16)).astype(np.intp)] = True
+    return np.concatenate((np.flatnonzero(seen).astype(np.int32), words + np.int32(TRIGRAMS)))
 
 
 @dataclass
 class Model:
-    bits: int
+    word_bits: int
+    used: np.ndarray  # buckets that have a weight
     weights: np.ndarray
     thresholds: np.ndarray
 
     def tails(self, text: str | None) -> np.ndarray:
-        at = buckets(text, self.bits)
-        score = float(self.weights[at].sum()) / np.sqrt(max(1, len(at)))
+        at = buckets(text, self.word_bits)
+        at = at[self.used[at]]
+        first = int(np.searchsorted(at, TRIGRAMS))
+        w = self.weights[at]
+        score = float(w[:first].sum()) / np.sqrt(max(1, first)) + WORD_VALUE * float(w[first:].sum())
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -50, 50)))
 
 
-def fit_ordinal(at: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, rounds: int = 250, rate: float = 0.15, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
+def screen(at: list[np.ndarray], grades: np.ndarray, n_grades: int, dims: int, least_z: float) -> np.ndarray:
+    """Buckets whose share differs between the grades below and above some threshold by least_z standard errors."""
+    n, lens = len(at), np.array([len(a) for a in at])
+    flat = np.concatenate(at) if n else np.zeros(0, np.int32)
+    df = np.bincount(flat, minlength=dims)
+    keep, share = np.zeros(dims, bool), df / max(1, n)
+    for k in range(1, n_grades):
+        up = grades >= k
+        n1 = int(up.sum())
+        if 0 < n1 < n:
+            above = np.bincount(flat[np.repeat(up, lens)], minlength=dims)
+            error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / (n - n1)))
+            keep |= (np.abs(above / n1 - (df - above) / (n - n1)) >= least_z * error) & (df >= 5)
+    return keep
+
+
+def fit_ordinal(at: list[np.ndarray], grades: np.ndarray, n_grades: int, word_bits: int, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-3, least_z: float = 6.0) -> Model:
     """Weights and thresholds by Adam on the full sample's log likelihood of grades."""
-    dims, n = 1 << bits, len(at)
+    dims, n = TRIGRAMS + (1 << word_bits), len(at)
     thresholds = np.array([np.log((np.sum(grades < k) + 0.5) / (np.sum(grades >= k) + 0.5)) for k in range(1, n_grades)])
-    gaps = np.log(np.maximum(np.diff(thresholds), 1e-2))
-    w = np.zeros(dims)
-    if not n:
-        return w.astype(np.float32), thresholds
+    used = screen(at, grades, n_grades, dims, least_z)
+    weights, size = np.zeros(dims, np.float32), int(used.sum())
+    if not size:
+        return Model(word_bits, used, weights, thresholds)
+    at = [a[used[a]] for a in at]
     lens = np.array([len(a) for a in at])
-    flat = np.concatenate(at) if lens.sum() else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(n), lens)
-    value = np.repeat(1 / np.sqrt(np.maximum(1, lens)), lens)
-    df = np.bincount(flat, minlength=dims)
-    scale = np.where(df >= 3, np.log((1 + n) / (1 + df)) + 0.2, 0.0)  # rare features learn faster, those seen once or twice not at all
-    value *= scale[flat]
-    theta = np.concatenate((w, [thresholds[0]], gaps))
+    flat, row = np.concatenate(at), np.repeat(np.arange(n), lens)
+    trigram = flat < TRIGRAMS
+    value = np.where(trigram, 1 / np.sqrt(np.maximum(1, np.bincount(row, trigram, n)))[row], WORD_VALUE)
+    column, each = (np.cumsum(used) - 1)[flat], np.arange(n)
+    theta = np.concatenate((np.zeros(size), [thresholds[0]], np.log(np.maximum(np.diff(thresholds), 1e-2))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+
+    def cuts() -> np.ndarray:
+        return theta[size] + np.concatenate(([0.0], np.cumsum(np.exp(theta[size + 1 :]))))
+
     for step in range(1, rounds + 1):
-        w, t = theta[:dims], theta[dims] + np.concatenate(([0.0], np.cumsum(np.exp(theta[dims + 1 :]))))
-        score = np.bincount(row, value * w[flat], n)
-        tail = 1 / (1 + np.exp(np.clip(t[None, :] - score[:, None], -50, 50)))
+        w = theta[:size]
+        score = np.bincount(row, value * w[column], n)
+        tail = 1 / (1 + np.exp(np.clip(cuts()[None, :] - score[:, None], -50, 50)))
         full = np.concatenate((np.ones((n, 1)), tail, np.zeros((n, 1))), 1)
-        p = np.maximum(full[np.arange(n), grades] - full[np.arange(n), grades + 1], 1e-9)
+        p = np.maximum(full[each, grades] - full[each, grades + 1], 1e-9)
         slope = np.concatenate((np.zeros((n, 1)), tail * (1 - tail), np.zeros((n, 1))), 1)
-        up, down = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
+        up, down = slope[each, grades] / p, slope[each, grades + 1] / p
         g_score = -(up - down) / n
-        g_t = np.array([np.sum(np.where(grades == k, up, 0) - np.where(grades + 1 == k, down, 0)) / n for k in range(1, n_grades)])
-        g_w = np.bincount(flat, value * g_score[row], dims) + ridge * w
-        g_gap = np.array([np.exp(theta[dims + 1 + j]) * g_t[j + 1 :].sum() for j in range(n_grades - 2)])
-        g = np.concatenate((g_w, [g_t.sum()], g_gap))
+        g_cut = np.array([np.sum(np.where(grades == k, up, 0) - np.where(grades + 1 == k, down, 0)) / n for k in range(1, n_grades)])
+        g_w = np.bincount(column, value * g_score[row], size) + ridge * w
+        g_gap = np.array([np.exp(theta[size + 1 + j]) * g_cut[j + 1 :].sum() for j in range(n_grades - 2)])
+        g = np.concatenate((g_w, [g_cut.sum()], g_gap))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    t = theta[dims] + np.concatenate(([0.0], np.cumsum(np.exp(theta[dims + 1 :]))))
-    return (theta[:dims] * scale).astype(np.float32), t
+    weights[used] = theta[:size]
+    return Model(word_bits, used, weights, cuts())
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, bits: int = 17, sample: int = 8000) -> Model:
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, word_bits: int = 20, sample: int = 8000) -> Model:
     """docs (doc_id, text), ratings (doc_id, grade in 0..n_grades-1)."""
     least = ratings.filter(F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     n = least.count()
@@ -104,15 +129,14 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, bits: int = 17,
     def features(batches):
         for batch in batches:
             text = batch.column("text")
-            at = [buckets(text[k].as_py(), bits) for k in range(len(text))]
+            at = [buckets(text[k].as_py(), word_bits) for k in range(len(text))]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(at, pa.list_(pa.int32()))], ["grade", "at"])
 
     got = known.mapInArrow(features, "grade int, at array<int>").toArrow()
     at = [np.asarray(a.values.to_numpy(), np.int32) for a in got.column("at")]
     grades = got.column("grade").to_numpy().astype(np.intp)
     order = sorted(range(len(at)), key=lambda k: (at[k].tobytes(), grades[k]))
-    weights, thresholds = fit_ordinal([at[k] for k in order], grades[order], n_grades, bits)
-    return Model(bits, weights, thresholds)
+    return fit_ordinal([at[k] for k in order], grades[order], n_grades, word_bits)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -122,9 +146,9 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).filter(F.col("grade").isNotNull())
 
 
-def score(docs: DataFrame, model: Model, select_grade: int = 2, keep_from: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, select_grade: int = 2, keep_from: float = 0.4) -> DataFrame:
     """doc_id, expected_grade, tail_prob (of select_grade), kept: one row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits floats, set by a parameter
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^word_bits floats, set by a parameter
 
     def run(batches):
         m = shared.value

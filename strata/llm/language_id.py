@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UND = "und"
+PIECE = 1 << 20  # characters of a text that are worked on at a time
 
 
 def _letters() -> np.ndarray:
@@ -39,9 +40,12 @@ def ngram_counts(text: str, dims: int) -> np.ndarray | None:
     """Counts per bucket of the whole text, or None where it has no letter."""
     if not _LETTER:
         _LETTER.append(_letters())
-    total = None
-    for at in range(0, len(text), 1 << 20):
-        piece = text[max(0, at - 2) : at + (1 << 20)].lower()
+    total, end = None, 0
+    while end < len(text):
+        at, end = end, min(len(text), end + PIECE)
+        while end < len(text) and text[end].isalpha() and end < at + 2 * PIECE:  # a piece ends with a word
+            end += 1
+        piece = text[at:end].lower()
         code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
         low = code < 0x3000
         letter = np.where(low, _LETTER[0][np.where(low, code, 0)], True)

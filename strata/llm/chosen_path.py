@@ -5,9 +5,10 @@ smallest doc of each class goes down `trees` independent trees. A node of a tree
 sequence of minwise tokens its documents have chosen: one token at the root level, and
 below a node with more than `limit` members each member follows `BRANCH` more minwise
 tokens. A node of up to `limit` members is compared exhaustively. A larger one compares
-all members with one pivot, closes if all of them resemble it, and else branches. What is
-still large at the last level is finished exactly: members outside the node's largest
-component are compared with all its members.
+all members with one pivot, closes if all of them resemble it, and else branches. Closed
+nodes, and those still large at the last level, are finished exactly: nodes of one pivot form a group, and
+members outside the group's largest component are compared with all its members on full
+sets, block by block, giving back no more than a spanning forest.
 
 A comparison first looks at sizes and at 256 sketch bits, whose bound lies 4.5 standard
 deviations below the threshold; a link counts only once it is confirmed on the full
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ SKETCH = 128  # minwise functions, two bits each
 BRANCH = 2
 LEVELS = 4
 LIMIT = 16
+BLOCK = 512  # members of a block of a large group
+SLICE = 4096  # shingles of an incidence matrix at a time
 
 
 def trees_for(threshold: float, recall: float) -> int:
@@ -123,17 +127,97 @@ def _bits(a: str, b: str) -> Column:
     return F.lit(2 * SKETCH) - (other[0] + other[1] + other[2] + other[3])
 
 
-def confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def sets_of(scratch: Scratch, docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Full shingle sets (doc_id, shingles) of the wanted doc_ids."""
+    sets = docs.join(wanted.distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>")
+    return scratch.save(sets, "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>")
-    sets = scratch.save(sets, "sets")
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    links = scratch.save(joined.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b").distinct(), "links")
-    scratch.drop(sets)
-    return links
+    return joined.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
+
+
+def _roots(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """(node, component) of a forest in which each b has one smaller a, by pointer jumping."""
+    r = scratch.save(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "roots")
+    while True:
+        up = r.toDF("component", "higher")
+        n = r.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved"))
+        n = scratch.save(n, "roots")
+        scratch.drop(r)
+        r = n.drop("moved")
+        if n.filter("moved").isEmpty():
+            return r
+
+
+def _block_links(percent: int):
+    """Links between the outsiders and the members of a block that join different components.
+
+    Intersections of all pairs come from products of incidence matrices, a slice of the
+    shingles at a time; what is returned is a spanning forest of the components met.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0].reset_index(drop=True), pdf[pdf["side"] == 1].reset_index(drop=True)
+        edges: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            nl, nr = (np.array([len(x) for x in side["shingles"]]) for side in (left, right))
+            tl, tr = np.concatenate(left["shingles"].to_list()), np.concatenate(right["shingles"].to_list())
+            rl, rr = np.repeat(np.arange(len(left)), nl), np.repeat(np.arange(len(right)), nr)
+            common = np.intersect1d(tl, tr)
+            both = np.zeros((len(left), len(right)), np.float32)
+            for at in range(0, len(common), SLICE):
+                part = common[at : at + SLICE]
+                sides = []
+                for t, r, n in ((tl, rl, len(left)), (tr, rr, len(right))):
+                    k = np.minimum(np.searchsorted(part, t), len(part) - 1)
+                    hit = part[k] == t
+                    m = np.zeros((n, len(part)), np.float32)
+                    m[r[hit], k[hit]] = 1
+                    sides.append(m)
+                both += sides[0] @ sides[1].T
+            near = both * 100 >= (nl[:, None] + nr[None, :] - both) * percent
+            a, b = np.nonzero(near & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]))
+            ca, cb = left["comp"].to_numpy()[a], right["comp"].to_numpy()[b]
+            _, one = np.unique(np.stack((np.minimum(ca, cb), np.maximum(ca, cb))), axis=1, return_index=True)
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for k in one.tolist():
+                x, y = root(int(ca[k])), root(int(cb[k]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    edges.append((int(left["rep"][a[k]]), int(right["rep"][b[k]])))
+        return pd.DataFrame({"a": pd.Series([e[0] for e in edges], dtype="int64"), "b": pd.Series([e[1] for e in edges], dtype="int64")})
+
+    return run
+
+
+def _blocks(scratch: Scratch, leftover: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows (pivot, o, m, side, rep, comp): outsiders of each large group against all its members, in blocks.
+
+    Nodes of one pivot are one group. Outsiders are the members that do not belong to the
+    group's largest component; pairs of members inside that one need no comparison.
+    """
+    group = leftover.select("pivot", "rep").distinct().join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    group = scratch.save(group.select("pivot", "rep", F.coalesce("component", "rep").alias("comp")), "groups")
+    per = group.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = per.groupBy("pivot").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    chunks = [F.ceil(c / BLOCK).cast("int").alias(name) for c, name in ((F.col("all") - F.col("x.n"), "os"), (F.col("all"), "ms"))]
+    main = scratch.save(main.select("pivot", F.col("x.comp").alias("main"), *chunks), "mains")
+    rows = group.join(main, "pivot")
+    o, m = F.pmod(F.xxhash64("rep"), F.col("os")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("ms")).cast("int")
+    out = rows.filter("comp <> main").select("pivot", o.alias("o"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m"), F.lit(0).alias("side"), "rep", "comp")
+    members = rows.select("pivot", F.explode(F.sequence(F.lit(0), F.col("os") - 1)).alias("o"), m.alias("m"), F.lit(1).alias("side"), "rep", "comp")
+    return scratch.save(out.union(members), "blocks")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall: float = 0.9999, limit: int = LIMIT) -> DataFrame:
@@ -153,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
     slim = ["node", "rep", "n", "s0", "s1", "s2", "s3"]
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")
     rows = reps.select("*", tree).withColumn("node", F.xxhash64("t", F.element_at("sig", F.col("t") + 1)))
-    found, large, level_tables = [], [], []
+    found, large, level_tables = [], None, []
     for level in range(LEVELS):
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n", "s0", "s1", "s2", "s3")).alias("p")).filter("c > 1")
         stats = scratch.save(stats, f"stats{level}")
@@ -161,7 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
         small = rows.select(slim).join(stats.filter(F.col("c") <= limit).select("node"), "node", "left_semi")
         a, b = small.alias("a"), small.alias("b")
         pairs = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.rep") < F.col("b.rep")) & _alike("a", "b", least, percent))
-        found.append(scratch.save(pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), _bits("a", "b").alias("bits")).distinct(), f"small{level}"))
+        found.append(scratch.save(pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), _bits("a", "b").alias("bits")), f"small{level}"))
         big = stats.filter(F.col("c") > limit)
         if big.isEmpty():
             break
@@ -170,18 +254,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
         near = (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent) & (bits >= least)
         member = scratch.save(member.select(*slim, "sig", "t", "c", "pivot", bits.alias("bits"), near.alias("near")), f"member{level}")
         level_tables.append(member)
-        found.append(scratch.save(member.filter("near AND rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "bits").distinct(), f"stars{level}"))
+        found.append(scratch.save(member.filter("near AND rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "bits"), f"stars{level}"))
         closed = member.filter("near").groupBy("node", "c").agg(F.count(F.lit(1)).alias("m")).filter("m = c").select("node")
+        closed = scratch.save(closed, f"closed{level}")
         still = member.join(closed, "node", "left_anti")
-        if level + 1 < LEVELS:
+        last = level + 1 == LEVELS
+        rest = member if last else member.join(closed, "node", "left_semi")
+        rest = scratch.save(rest.select("pivot", "rep").distinct(), f"rest{level}")
+        large = rest if large is None else large.union(rest)
+        if not last:
             first = trees + level * trees * BRANCH
             branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCH - 1))).alias("branch")
             pick = F.element_at("sig", F.lit(first + 1) + F.col("t") * BRANCH + F.col("branch"))
             rows = still.select("rep", "n", "s0", "s1", "s2", "s3", "sig", "t", "node", branch).withColumn("node", F.xxhash64("node", "branch", pick)).drop("branch")
             rows = scratch.save(rows, f"rows{level + 1}")
             level_tables.append(rows)
-        else:
-            large.append(scratch.save(still.select(slim), "large"))
 
     candidates = found[0]
     for more in found[1:]:
@@ -190,22 +277,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
     scratch.drop(*found, *level_tables)
     # The likeliest partner of each document first; then only what this has not connected.
     first = candidates.groupBy("b").agg(F.max(F.struct("bits", (-F.col("a")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), "b")
-    links = confirm(scratch, docs, scratch.save(first, "first"), shingle, percent)
-    joined = scratch.save(components(scratch, links), "joined")
-    open_pairs = _apart(candidates.select("a", "b"), joined)
-    for leftover in large:
-        placed = leftover.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        per = placed.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
-        main = per.groupBy("node").agg(F.max(F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("node", "main.comp")
-        out = placed.join(main.withColumnRenamed("comp", "main"), "node").filter("comp <> main").drop("main")
-        a, b = out.alias("a"), placed.alias("b")
-        apart = (F.col("a.node") == F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & _alike("a", "b", least, percent)
-        more = a.join(b, apart).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
-        open_pairs = open_pairs.union(more)
-    open_pairs = scratch.save(open_pairs.distinct(), "open")
-    if not open_pairs.isEmpty():
-        links = scratch.save(links.union(confirm(scratch, docs, open_pairs, shingle, percent)), "all-links")
-        joined = scratch.save(components(scratch, links), "rejoined")
+    first = scratch.save(first, "first")
+    sets = sets_of(scratch, docs, _ends(first), shingle)
+    joined = _roots(scratch, confirm(first, sets, percent))
+    scratch.drop(sets)
+    open_pairs = scratch.save(_apart(candidates.select("a", "b"), joined), "open")
+    blocks = _blocks(scratch, large, joined) if large is not None else None
+    if blocks is None or blocks.isEmpty():
+        blocks, wanted = None, _ends(open_pairs)
+    else:
+        wanted = _ends(open_pairs).union(blocks.select(F.col("rep").alias("doc_id")))
+    if blocks is not None or not open_pairs.isEmpty():
+        sets = sets_of(scratch, docs, wanted, shingle)
+        links = confirm(open_pairs, sets, percent)
+        if blocks is not None:
+            full = blocks.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+            links = links.union(full.groupBy("pivot", "o", "m").applyInPandas(_block_links(percent), "a long, b long"))
+        links = scratch.save(links, "links")
+        scratch.drop(sets)
+        ca, cb = joined.toDF("a", "ca"), joined.toDF("b", "cb")
+        between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = scratch.save(components(scratch, between), "merged")
+        # Roots that the second links joined, then everything below a root.
+        below = joined.join(merged.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        joined = scratch.save(below.union(merged.join(joined, "node", "left_anti")), "rejoined")
 
     key = ["n_shingles", "f1", "f2"]
     out = all_rows.select("doc_id", *key).join(classes, key, "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
@@ -214,6 +309,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
+
 def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components so far."""
     ca, cb = joined.toDF("a", "ca"), joined.toDF("b", "cb")

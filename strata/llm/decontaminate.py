@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.bytewords import hash_runs, mix, utf8
+from strata.llm.scratch import Scratch, by_ids
 
 # Words that are units after a number.
 UNITS = """percent km m cm mm mi miles mile feet foot ft inches inch yards kg g mg lb lbs pounds ounces oz tons l ml
@@ -200,5 +201,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, percent: int
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no item; all columns. Rows without doc_id stay."""
-    held = matches(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    scratch = Scratch(docs.sparkSession, "clean")
+    return by_ids(scratch, docs, matches(docs, benchmark, **options), "left_anti").select(docs.columns)

@@ -25,7 +25,7 @@ row. Other columns are kept by mix() and ignored by plan().
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -100,12 +100,22 @@ def _split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 100_000, shards: int = 8, seed: int = 20240229) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards (one entry for each copy): a row for each row of docs."""
     scratch = Scratch(docs.sparkSession, "mixture")
-    return _plan(scratch, docs.select("doc_id", "source", "text"), ["doc_id"], weights, most, block_words, shards, seed).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)[0].select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
-def _plan(scratch: Scratch, docs: DataFrame, keys: list[str], weights, most, block_words, shards, seed) -> DataFrame:
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(*keys, F.col("source").cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _placed(rows: DataFrame, key: DataFrame, seed: int) -> DataFrame:
+    """Rows (doc_id, source, size, ...) with their source's figures, hash and block."""
+    rows = rows.join(key, rows["source"].eqNullSafe(key["s"])).drop("s")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "source", "size", F.lit(seed)))
+    return rows.withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("n")))
+
+
+def _plan(scratch: Scratch, docs: DataFrame, weights, most, block_words, shards, seed) -> tuple[DataFrame, ...]:
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), F.monotonically_increasing_id().alias("row"))
     sized = scratch.save(sized, "sized")
     src = targets(sized, weights, most)
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
@@ -113,9 +123,7 @@ def _plan(scratch: Scratch, docs: DataFrame, keys: list[str], weights, most, blo
     src = src.withColumn("n", n).withColumn("times", times).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("times") * F.col("source_size")))
     src = scratch.save(src, "sources")
     key = src.select("sid", F.col("source").alias("s"), "n", "source_size", "target", "times")
-    rows = sized.join(key, sized["source"].eqNullSafe(key["s"])).drop("s")
-    rows = rows.withColumn("h", F.xxhash64(*keys, "source", "size", F.lit(seed))).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("n")))
-    rows = scratch.save(rows, "rows")
+    rows = scratch.save(_placed(sized, key, seed), "rows")
 
     blocks = rows.filter("size > 0").groupBy("sid", "block").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("sid").orderBy(F.xxhash64("sid", "block", F.lit(seed + 1)), "block")
@@ -153,16 +161,21 @@ def _plan(scratch: Scratch, docs: DataFrame, keys: list[str], weights, most, blo
     more = F.coalesce("whole", F.lit(False)) | F.coalesce("chosen", F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("times") + more.cast("int")).otherwise(0)
     places = F.when(F.col("size") > 0, F.transform(F.filter("placed", lambda p: ~p.extra | more), lambda p: p.shard))
-    return out.select(*keys, "size", F.col("source_size").cast("long").alias("source_size"), "target", (copies * F.col("size")).cast("long").alias("taken"), F.coalesce(places, F.array().cast("array<int>")).alias("shards"), "sid", "h", copies.alias("copies"))
+    out = out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (copies * F.col("size")).cast("long").alias("taken"), F.coalesce(places, F.array().cast("array<int>")).alias("shards"))
+    return out, key, whole, edge.filter("in").select("sid", "h", F.lit(True).alias("chosen")).distinct()
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 100_000, shards: int = 8, seed: int = 20240229) -> DataFrame:
     """The mix itself: rows of docs (doc_id, source, text and others), each as often as it is taken.
 
-    Rows that repeat a doc_id are taken as often as the most taken of them.
+    The decisions are small tables (sources, blocks, documents at the edge), so the texts
+    themselves are not moved. Rows equal in doc_id, source and size are taken alike.
     """
     scratch = Scratch(docs.sparkSession, "mixture")
-    made = _plan(scratch, docs.select("doc_id", "source", "text"), ["doc_id"], weights, most, block_words, shards, seed)
-    copies = made.filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    _, key, whole, chosen = _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"))
+    rows = _placed(rows.filter("size > 0"), key, seed)
+    rows = rows.join(scratch.save(whole, "whole"), ["sid", "block"], "left").join(scratch.save(chosen, "chosen"), ["sid", "h"], "left")
+    more = F.coalesce("whole", F.lit(False)) | F.coalesce("chosen", F.lit(False))
+    rows = rows.withColumn("copies", F.col("times") + more.cast("int")).filter("copies > 0")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")

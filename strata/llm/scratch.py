@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -54,3 +55,16 @@ class Scratch:
                 jvm = self.spark.sparkContext._jvm
                 p = jvm.org.apache.hadoop.fs.Path(to)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Ids that a join sends to every executor: about 30 MB there. More are joined by shuffling both sides.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(scratch: Scratch, rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti of wide rows with doc_id and a table of ids, counted first.
+
+    Where the ids are few enough to send around, the rows stay where they are read.
+    """
+    ids = scratch.save(ids.select("doc_id").distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)

@@ -37,12 +37,26 @@ CHUNK = 1024
 
 
 def _unit(rows) -> np.ndarray:
-    x = np.array([np.asarray(r, np.float64) for r in rows])
+    return _unit_rows(np.array([np.asarray(r, np.float64) for r in rows]))
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
     top = np.abs(x).max(1, keepdims=True)
     x = x / top  # so that no square overflows or vanishes
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _lengths(column) -> np.ndarray:
+    """Lengths of the rows of an Arrow list column."""
+    return np.diff(column.offsets.to_numpy())
+
+
+def _rows(column, at: np.ndarray, d: int) -> np.ndarray:
+    """Rows `at`, all of length d, of an Arrow list column without nulls."""
+    values = column.values.to_numpy(zero_copy_only=False)
+    return _unit_rows(values[column.offsets.to_numpy()[at][:, None] + np.arange(d)].astype(np.float64))
+
+
 def usable(c: str) -> Column:
     """Vectors that can link: finite, not all zero."""
     bad = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -56,11 +70,10 @@ def _project(trees: range, bits: int, seed: int):
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             rep, vec = batch.column(0), batch.column(1)
-            rows = vec.to_pylist()
-            dims = np.array([len(r) for r in rows])
+            dims = _lengths(vec)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                x = _unit([rows[k] for k in at])
+                x = _rows(vec, at, d)
                 for t in trees:
                     if (t, d) not in planes:
                         planes[t, d] = np.random.default_rng([seed, t, int(d)]).standard_normal((int(d), max(1, bits)))
@@ -109,12 +122,12 @@ def _pair_cos(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 b = batch.slice(at, 4096)
-                x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-                same = np.array([len(p) == len(q) for p, q in zip(x, y)], bool)
-                cos = np.full(len(x), -2.0)
-                for d in {len(p) for p, s in zip(x, same) if s}:
-                    at_d = [k for k in range(len(x)) if same[k] and len(x[k]) == d]
-                    cos[at_d] = (_unit([x[k] for k in at_d]) * _unit([y[k] for k in at_d])).sum(1)
+                x, y = b.column("x"), b.column("y")
+                dims = np.where(_lengths(x) == _lengths(y), _lengths(x), 0)
+                cos = np.full(len(dims), -2.0)
+                for d in np.unique(dims[dims > 0]):
+                    at_d = np.flatnonzero(dims == d)
+                    cos[at_d] = (_rows(x, at_d, d) * _rows(y, at_d, d)).sum(1)
                 yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(cos)], ["u", "v", "cos"])
 
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long, cos double")

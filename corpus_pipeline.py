@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import chosen_path, decontaminate, language_id, mixture, queries, token_files
-from strata.llm.scratch import Scratch
+from strata.llm.scratch import Scratch, by_ids
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     gone = chosen_path.near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return by_ids(Scratch(spark, "one"), docs, gone, "left_anti").select(docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,6 +105,14 @@ def test_transactions(db):
     assert db.current_version() == v + 1
 
 
+def test_create_from_a_frame_and_increment(db, spark):
+    frame = spark.createDataFrame([(1, 2.5, "x"), (2, None, "y")], "k long, v double, t string")
+    assert db.create_from("frames", frame, "k") == 2
+    assert db.increment("frames", 1, "v", 2) == 4.5
+    assert code(db.increment, "frames", 9, "v") == "ROW_NOT_FOUND"
+    assert code(db.create_from, "frames", frame, "k") == "UNKNOWN_TABLE"
+
+
 def test_definitions(db):
     db.query("CREATE TABLE t (k integer PRIMARY KEY, v decimal(10, 2), w text UNIQUE)")
     db.query("INSERT INTO t (k, v) VALUES (1, 2.5)")

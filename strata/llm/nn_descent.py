@@ -251,6 +251,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, k: int = 12, trees: i
         if found >= target * true:
             break
 
+    scratch.keep_only(classes, counts, joined)
     labelled = classes.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.select("rep", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "embedding")
     linked = able.join(labelled.drop("rep"), "embedding").select("vec_id", "n_links", "component_id")

@@ -33,7 +33,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/strata-{label}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
+        self._n, self._tables = 0, []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -45,8 +45,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(to)
         out = self.spark.read.schema(df.schema).parquet(to)
         out._strata_path = to
+        self._tables.append(out)
         return out
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete every table of this run but the given ones."""
+        kept = {t._strata_path for t in tables}
+        self.drop(*(t for t in self._tables if t._strata_path not in kept))
+        self._tables = list(tables)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in tables:

@@ -71,9 +71,9 @@ def test_near_documents_against_all_pairs(spark, shingle, percent, limit):
 def test_near_documents_defined_cases(spark):
     schema = "doc_id long, text string"
     assert chosen_path.near_duplicates(spark.createDataFrame([], schema)).count() == 0
-    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l"), (1, "g h i j k l")]
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l"), (1, "g h i j k l")] + [(5, "r s t u v w")] * 40
     got = chosen_path.near_duplicates(spark.createDataFrame(rows, schema)).collect()
-    assert len(got) == 5 and {(r.doc_id, r.component_id) for r in got} == {(None, None), (1, 1), (2, 1)}
+    assert len(got) == 45 and {(r.doc_id, r.component_id) for r in got} == {(None, None), (1, 1), (2, 1), (5, 5)}
 
 
 def test_trees_reach_the_recall():

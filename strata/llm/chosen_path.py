@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.bytewords import mix, shingle_set, utf8, word_hashes
 from strata.llm.components import components
-from strata.llm.scratch import Scratch
+from strata.llm.scratch import Scratch, by_ids
 
 SKETCH = 128  # minwise functions, two bits each
 BRANCH = 2
@@ -129,7 +129,7 @@ def _bits(a: str, b: str) -> Column:
 
 def sets_of(scratch: Scratch, docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """Full shingle sets (doc_id, shingles) of the wanted doc_ids."""
-    sets = docs.join(wanted.distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>")
+    sets = by_ids(scratch, docs, wanted, "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>")
     return scratch.save(sets, "sets")
 
 
@@ -145,13 +145,13 @@ def _roots(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, component) of a forest in which each b has one smaller a, by pointer jumping."""
     r = scratch.save(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "roots")
     while True:
-        up = r.toDF("component", "higher")
+        up = r.select(F.col("node").alias("component"), F.col("component").alias("higher"))
         n = r.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved"))
         n = scratch.save(n, "roots")
         scratch.drop(r)
-        r = n.drop("moved")
+        r = n
         if n.filter("moved").isEmpty():
-            return r
+            return n
 
 
 def _block_links(percent: int):
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
 
     real = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.save(real.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = real.join(classes, ["n_shingles", "f1", "f2"]).filter("doc_id = rep")
+    reps = real.join(classes, ["n_shingles", "f1", "f2"]).filter("doc_id = rep").dropDuplicates(["rep", "f1", "f2"])
     reps = scratch.save(reps.select("rep", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "sig"), "reps")
 
     slim = ["node", "rep", "n", "s0", "s1", "s2", "s3"]
@@ -279,8 +279,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
     first = candidates.groupBy("b").agg(F.max(F.struct("bits", (-F.col("a")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), "b")
     first = scratch.save(first, "first")
     sets = sets_of(scratch, docs, _ends(first), shingle)
-    joined = _roots(scratch, confirm(first, sets, percent))
-    scratch.drop(sets)
+    forest = _roots(scratch, confirm(first, sets, percent))
+    joined = scratch.save(forest.select("node", "component"), "joined")
+    scratch.drop(sets, forest)
     open_pairs = scratch.save(_apart(candidates.select("a", "b"), joined), "open")
     blocks = _blocks(scratch, large, joined) if large is not None else None
     if blocks is None or blocks.isEmpty():
@@ -302,6 +303,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
         below = joined.join(merged.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         joined = scratch.save(below.union(merged.join(joined, "node", "left_anti")), "rejoined")
 
+    scratch.keep_only(all_rows, classes, joined)
     key = ["n_shingles", "f1", "f2"]
     out = all_rows.select("doc_id", *key).join(classes, key, "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     linked = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep"))

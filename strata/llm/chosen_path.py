@@ -38,7 +38,7 @@ from strata.llm.scratch import Scratch, by_ids
 
 SKETCH = 128  # minwise functions, two bits each
 BRANCH = 2
-LEVELS = 4
+LEVELS = 3
 LIMIT = 16
 BLOCK = 512  # members of a block of a large group
 SLICE = 4096  # shingles of an incidence matrix at a time

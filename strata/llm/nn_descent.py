@@ -2,10 +2,12 @@
 
 Equal vectors are one class. The first neighbour graph comes from random-projection
 blocks of bounded size; rounds of neighbours-of-neighbours joins then refine the lists of
-the `k` nearest. Edges whose cosine reaches the threshold join classes into components. A
-list that is full of such edges is saturated: its true neighbours may be more than k, and
-all of them lie in its component, which the neighbours-of-neighbours closure of those
-edges spans. Lists are therefore enlarged to the whole component: its members are compared
+the `k` nearest. The lists only steer the search: what joins classes into components is
+every pair of a block whose cosine reaches the threshold, given back as a star for each
+group so linked, and every such pair that a round meets, whether or not a list has room
+for it. A projection bucket larger than a block is first taken in parts; then its rows
+outside its most frequent component are compared with all its rows, part by part, so no
+pair of a bucket is left out. Links are counted over whole components: members are compared
 block by block, and each block returns counts, never pairs. Last, an audit compares a
 bounded set of queries with all rows; while its recall stays below `target`, a further
 forest of other projections is added.
@@ -86,12 +88,25 @@ def _project(trees: range, bits: int, seed: int):
     return run
 
 
-def _block(k: int, explore: float):
-    """The k nearest of each row within its block, as (u, v, cos)."""
+def _smallest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over edges (a, b)."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _block(k: int, explore: float, threshold: float):
+    """The k nearest of each row within its block, as (u, v, cos), and as stars the groups that all links of the block join."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, rep = _unit(pdf["embedding"]), pdf["rep"].to_numpy()
-        u, v, c = [], [], []
+        u, v, c, a, b = [], [], [], [], []
         for at in range(0, len(x), CHUNK):
             s = x[at : at + CHUNK] @ x.T
             s[np.arange(len(s)), at + np.arange(len(s))] = -2
@@ -102,7 +117,13 @@ def _block(k: int, explore: float):
             u.append(rep[at + r])
             v.append(rep[top[r, j]])
             c.append(cos[r, j])
-        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "cos": np.concatenate(c)})
+            r, j = np.nonzero(s >= threshold)
+            a.append(at + r)
+            b.append(j)
+        low = _smallest(np.concatenate(a), np.concatenate(b), len(x))
+        star = np.flatnonzero(low != np.arange(len(x)))
+        lists = pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "cos": np.concatenate(c), "star": False})
+        return pd.concat([lists, pd.DataFrame({"u": rep[star], "v": rep[low[star]], "cos": 1.0, "star": True})])
 
     return run
 
@@ -133,25 +154,70 @@ def _pair_cos(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long, cos double")
 
 
-def _refine(scratch: Scratch, edges: DataFrame, vectors: DataFrame, k: int, explore: float, rounds: int) -> DataFrame:
-    """Neighbours-of-neighbours joins until no list changes or the rounds are used up."""
+def _refine(scratch: Scratch, edges: DataFrame, vectors: DataFrame, k: int, explore: float, rounds: int, met: list[DataFrame] | None = None) -> DataFrame:
+    """Neighbours-of-neighbours joins until no list changes or the rounds are used up. All pairs compared, with explore or more, go to `met`."""
     for n in range(rounds):
         a, b = edges.alias("a"), edges.alias("b")
         reach = a.join(b, F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.v").alias("v")).filter("u <> v")
         new = reach.distinct().join(edges.select("u", "v"), ["u", "v"], "left_anti")
         pairs = new.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        cos = _pair_cos(pairs, vectors).filter(F.col("cos") >= explore)
+        cos = scratch.save(_pair_cos(pairs, vectors).filter(F.col("cos") >= explore), f"met{n}")
         both = cos.union(cos.select("v", "u", "cos"))
         after = scratch.save(_best(edges.union(both), k), f"round{n}")
         changed = after.join(edges.select("u", "v"), ["u", "v"], "left_anti").count()
         size = after.count()
         scratch.drop(edges)
+        if met is None:
+            scratch.drop(cos)
+        else:
+            met.append(cos)
         edges = after
         if changed <= 0.001 * size:
             break
     return edges
 
 
+def _across(threshold: float):
+    """Components (a, b) that links between inner and outer rows of a part join, as stars."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        outer, label = pdf["outer"].to_numpy(), pdf["label"].to_numpy()
+        left, right = np.flatnonzero(~outer), np.flatnonzero(outer)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": label[:0], "b": label[:0]})
+        x = _unit(pdf["embedding"])
+        i, j = np.nonzero(((x[left] @ x[right].T) >= threshold) & (label[left][:, None] != label[right][None, :]))
+        names, at = np.unique(np.concatenate((label[left][i], label[right][j])), return_inverse=True)
+        return pd.DataFrame({"a": names, "b": names[_smallest(at[: len(i)], at[len(i) :], len(names))]})
+
+    return run
+
+
+def _join_crowded(scratch: Scratch, joined: DataFrame, coded: DataFrame, crowded: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Components after all pairs of the crowded buckets (tree, code, count) are compared that are not in one yet."""
+    label = F.coalesce("component", "rep").alias("label")
+    rows = coded.select("tree", "code", "rep").join(crowded, ["tree", "code"]).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = scratch.save(rows.select("tree", "code", "rep", "count", label), "crowd")
+    most = rows.groupBy("tree", "code", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "code")
+    most = most.agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all")).filter(F.col("all") > F.col("main.n"))
+    rows = rows.join(most, ["tree", "code"]).withColumn("m", F.ceil(F.col("all") / BLOCK).cast("int"))
+    rows = rows.withColumn("o", F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int"))
+
+    def spread(part: Column, other: Column, outer: bool) -> DataFrame:
+        some = rows.filter(F.col("label") != F.col("main.label")) if outer else rows
+        return some.withColumn("part", part).withColumn("other", other).select("tree", "code", "part", "other", "rep", "label", F.lit(outer).alias("outer"))
+
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("rep", "tree"), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    parts = spread(own("m"), each("o"), False).union(spread(each("m"), own("o"), True)).join(vectors, "rep")
+    more = parts.groupBy("tree", "code", "part", "other").applyInPandas(_across(threshold), "a long, b long")
+    return scratch.save(components(scratch, joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "whole")
+
+
 def _count_links(threshold: float):
     """Links within packed components: rows of one component are compared, counts come out."""
 
@@ -236,16 +302,23 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, k: int = 12, trees: i
     for forest in range(forests):
         coded = vectors.mapInArrow(_project(range(forest * trees, (forest + 1) * trees), bits, seed), f"tree int, code long, rep long, embedding {dict(classes.dtypes)['embedding']}")
         coded = scratch.save(coded, "coded")
-        large = coded.groupBy("tree", "code").count().filter(F.col("count") > BLOCK)
+        large = scratch.save( coded.groupBy("tree", "code").count().filter(F.col("count") > BLOCK), "large")
         parts = F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("long")
         blocks = coded.join(large, ["tree", "code"], "left").withColumn("sub", F.pmod(F.xxhash64("rep", "tree"), parts))
-        near = blocks.groupBy("tree", "code", "sub").applyInPandas(_block(k, explore), "u long, v long, cos double")
-        near = near if edges is None else near.union(edges)
-        first = scratch.save(_best(near, k), "first")
-        scratch.drop(coded, *([edges] if edges is not None else []))
-        edges = _refine(scratch, first, vectors, k, explore, rounds)
-        links = edges.filter(F.col("cos") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        near = blocks.groupBy("tree", "code", "sub").applyInPandas(_block(k, explore, threshold), "u long, v long, cos double, star boolean")
+        near = scratch.save(near, "near")
+        lists = near.filter(~F.col("star")).drop("star")
+        first = scratch.save(_best(lists if edges is None else lists.union(edges), k), "first")
+        met: list[DataFrame] = []
+        edges = _refine(scratch, first, vectors, k, explore, rounds, met)
+        links = near.filter("star").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        for pairs in met:
+            links = links.union(pairs.filter(F.col("cos") >= threshold).select("u", "v"))
+        links = links if joined is None else links.union(joined)
         joined = scratch.save(components(scratch, links), "joined")
+        if not large.isEmpty():
+            joined = _join_crowded(scratch, joined, coded, large, vectors, threshold)
+        scratch.drop(coded, near, *met)
         counts = scratch.save(_links_in(scratch, joined, classes, threshold), "counts")
         found, true = audit(classes, counts, threshold, queries)
         if found >= target * true:

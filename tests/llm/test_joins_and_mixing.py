@@ -105,6 +105,33 @@ def test_vectors_against_all_pairs(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [nn_descent.BLOCK, 16])
+def test_links_between_groups_whose_lists_are_full(spark, monkeypatch, block):
+    monkeypatch.setattr(nn_descent, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    a, b = np.eye(24)[0], np.eye(24)[0] * 0.93 + np.eye(24)[1] * np.sqrt(1 - 0.93**2)
+    x = np.array([c + rng.standard_normal(24) * 0.012 for c in (a, b) for _ in range(30)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = (x @ x.T) >= 0.9
+    np.fill_diagonal(s, False)
+    assert s[:30, 30:].all() and all(set(np.argsort(-(x @ x[k]))[1:13] // 30) == {k // 30} for k in range(60))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(df).collect()}
+    assert got == {k: (59, 0) for k in range(60)}
+
+
+def test_no_pair_of_a_crowded_bucket_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BLOCK", 8)
+    scratch = Scratch(spark, "crowd")
+    x = [[1.0, 0.004 * k, 0.0] for k in range(40)] + [[1.0, 0.156, 0.45], [1.0, 0.156, 0.9], [0.0, 0.0, -1.0]]
+    vectors = spark.createDataFrame(list(enumerate(x)), "rep long, embedding array<double>")
+    joined = spark.createDataFrame([(k, 0) for k in range(40)], "node long, component long")
+    coded = vectors.selectExpr("0 AS tree", "7L AS code", "rep", "embedding")
+    crowded = coded.groupBy("tree", "code").count()
+    got = {r.node: r.component for r in nn_descent._join_crowded(scratch, joined, coded, crowded, vectors, 0.9).collect()}
+    assert got == {k: 0 for k in range(42)}
+
+
 def test_refinement_finds_neighbours_of_neighbours(spark):
     scratch = Scratch(spark, "refine")
     vectors = spark.createDataFrame([(k, [1.0, 0.01 * k]) for k in range(8)], "rep long, embedding array<double>")

@@ -8,9 +8,12 @@ group so linked, and every such pair that a round meets, whether or not a list h
 for it. A projection bucket larger than a block is first taken in parts; then its rows
 outside its most frequent component are compared with all its rows, part by part, so no
 pair of a bucket is left out. Links are counted over whole components: members are compared
-block by block, and each block returns counts, never pairs. Last, an audit compares a
-bounded set of queries with all rows; while its recall stays below `target`, a further
-forest of other projections is added.
+block by block, and each block returns counts, never pairs. The trees of a forest grow with the table
+so that two rows at the threshold meet in one of them with probability RECALL; they are
+taken `trees` at a time, so what is on disk stays bounded. Last, an audit compares a bounded
+set of queries with all rows; while the mean recall of those that have links stays below
+`target`, a further forest of other projections is added, and after `forests` of them a
+missed target is an error.
 
 Every decision is made on cosines in double precision.
 
@@ -24,6 +27,7 @@ ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +40,7 @@ from strata.llm.scratch import Scratch
 
 BLOCK = 512
 CHUNK = 1024
+RECALL = 0.999
 
 
 def _unit(rows) -> np.ndarray:
@@ -65,6 +70,14 @@ def usable(c: str) -> Column:
     return F.col(c).isNotNull() & (F.size(c) > 0) & ~bad & F.exists(c, lambda x: x != 0)
 
 
+def trees_for(bits: int, threshold: float, recall: float = RECALL) -> int:
+    """Trees of `bits` projections in which two rows at the threshold meet at least once, with this probability."""
+    met = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    if met <= 0:
+        raise ValueError("no number of trees reaches the recall at this threshold")
+    return 1 if met == 1 else math.ceil(math.log(1 - recall) / math.log1p(-met))
+
+
 def _project(trees: range, bits: int, seed: int):
     """Rows once for each tree, with the signs of `bits` random projections as code."""
 
@@ -260,14 +273,14 @@ def _links_in(scratch: Scratch, joined: DataFrame, classes: DataFrame, threshold
     return counted.groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def audit(classes: DataFrame, counts: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
-    """(found, true) links of about `queries` classes, chosen by a hash, against all rows."""
+def audit(classes: DataFrame, counts: DataFrame, threshold: float, queries: int) -> tuple[float, int]:
+    """(mean recall, number) of those among about `queries` classes, chosen by a hash, that have links, against all rows."""
     total = classes.count()
     rate = int(min(1.0, max(queries / max(1, total), 0.0)) * (1 << 30))
     few = classes.filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30)) < rate).select("rep", "embedding").limit(2 * queries)
     got = few.toPandas()
     if not len(got):
-        return 0, 0
+        return 1.0, 0
     by_dim = {d: (part["rep"].to_numpy(), _unit(part["embedding"])) for d, part in got.groupby(got["embedding"].map(len))}
     shared = classes.sparkSession.sparkContext.broadcast(by_dim)  # at most 2 * queries vectors
 
@@ -284,8 +297,9 @@ def audit(classes: DataFrame, counts: DataFrame, threshold: float, queries: int)
         yield pd.DataFrame({"rep": pd.Series(list(n), dtype="int64"), "true": pd.Series(list(n.values()), dtype="int64")})
 
     true = classes.select("rep", "w", "embedding").mapInPandas(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    both = true.join(counts, "rep", "left").agg(F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("found"), F.sum("true").alias("true")).first()
-    return int(both.found or 0), int(both.true or 0)
+    both = true.filter(F.col("true") > 0).join(counts, "rep", "left").select((F.least("true", F.coalesce("n", F.lit(0))) / F.col("true")).alias("share"))
+    both = both.agg(F.avg("share").alias("recall"), F.count(F.lit(1)).alias("asked")).first()
+    return (both.recall if both.asked else 1.0), both.asked
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, k: int = 12, trees: int = 6, explore: float = 0.6, rounds: int = 3, target: float = 0.999, queries: int = 1000, forests: int = 3, seed: int = 17) -> DataFrame:
@@ -298,31 +312,43 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, k: int = 12, trees: i
     total = classes.count()
     bits = max(0, math.ceil(math.log2(max(1, total) / (BLOCK // 2)))) if total else 0
 
+    each = max(trees, trees_for(bits, threshold))
+    coding = f"tree int, code long, rep long, embedding {dict(classes.dtypes)['embedding']}"
+    linking = "u long, v long, cos double, star boolean"
+
     edges, counts, joined = None, None, None
     for forest in range(forests):
-        coded = vectors.mapInArrow(_project(range(forest * trees, (forest + 1) * trees), bits, seed), f"tree int, code long, rep long, embedding {dict(classes.dtypes)['embedding']}")
-        coded = scratch.save(coded, "coded")
-        large = scratch.save( coded.groupBy("tree", "code").count().filter(F.col("count") > BLOCK), "large")
-        parts = F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("long")
-        blocks = coded.join(large, ["tree", "code"], "left").withColumn("sub", F.pmod(F.xxhash64("rep", "tree"), parts))
-        near = blocks.groupBy("tree", "code", "sub").applyInPandas(_block(k, explore, threshold), "u long, v long, cos double, star boolean")
-        near = scratch.save(near, "near")
-        lists = near.filter(~F.col("star")).drop("star")
-        first = scratch.save(_best(lists if edges is None else lists.union(edges), k), "first")
+        every = range(forest * each, (forest + 1) * each)
+        near, crowded = [], []
+        for first in range(every.start, every.stop, trees):
+            some = range(first, min(first + trees, every.stop))
+            coded = scratch.save(vectors.mapInArrow(_project(some, bits, seed), coding), "coded")
+            large = scratch.save(coded.groupBy("tree", "code").count().filter(F.col("count") > BLOCK), "large")
+            parts = F.ceil(F.coalesce("count", F.lit(1)) / BLOCK).cast("long")
+            blocks = coded.join(large, ["tree", "code"], "left").withColumn("sub", F.pmod(F.xxhash64("rep", "tree"), parts))
+            near.append(scratch.save(blocks.groupBy("tree", "code", "sub").applyInPandas(_block(k, explore, threshold), linking), "near"))
+            if not large.isEmpty():
+                crowded.append((some, large))
+            scratch.drop(coded)
         met: list[DataFrame] = []
-        edges = _refine(scratch, first, vectors, k, explore, rounds, met)
-        links = near.filter("star").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        found = reduce(DataFrame.union, near)
+        lists = found.filter(~F.col("star")).drop("star")
+        best = scratch.save(_best(lists if edges is None else lists.union(edges), k), "first")
+        edges = _refine(scratch, best, vectors, k, explore, rounds, met)
+        links = found.filter("star").select(F.col("u").alias("a"), F.col("v").alias("b"))
         for pairs in met:
             links = links.union(pairs.filter(F.col("cos") >= threshold).select("u", "v"))
         links = links if joined is None else links.union(joined)
         joined = scratch.save(components(scratch, links), "joined")
-        if not large.isEmpty():
-            joined = _join_crowded(scratch, joined, coded, large, vectors, threshold)
-        scratch.drop(coded, near, *met)
+        scratch.drop(*near, *met)
+        for some, large in crowded:
+            joined = _join_crowded(scratch, joined, vectors.mapInArrow(_project(some, bits, seed), coding), large, vectors, threshold)
         counts = scratch.save(_links_in(scratch, joined, classes, threshold), "counts")
-        found, true = audit(classes, counts, threshold, queries)
-        if found >= target * true:
+        recall, asked = audit(classes, counts, threshold, queries)
+        if recall >= target:
             break
+    else:
+        raise RuntimeError(f"recall {recall:.4f} of {asked} audited vectors is below {target} after {forests} forests of {each} trees")
 
     scratch.keep_only(classes, counts, joined)
     labelled = classes.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -132,6 +133,24 @@ def test_no_pair_of_a_crowded_bucket_is_left_out(spark, monkeypatch):
     assert got == {k: 0 for k in range(42)}
 
 
+def test_trees_grow_with_the_table():
+    for rows in (2_000, 200_000, 2_000_000, 20_000_000):
+        bits = math.ceil(math.log2(rows / (nn_descent.BLOCK // 2)))
+        met = (1 - math.acos(0.9) / math.pi) ** bits
+        assert (1 - met) ** nn_descent.trees_for(bits, 0.9) <= 1 - nn_descent.RECALL
+    assert nn_descent.trees_for(0, 0.9) == 1
+
+
+def test_audit_is_by_query_and_a_missed_target_is_an_error(spark, monkeypatch):
+    rows = [(k, 1, [1.0, 0.001 * k, 0.0]) for k in range(20)] + [(30 + k, 1, [0.0, 0.01 * k, 1.0]) for k in range(2)]
+    classes = spark.createDataFrame(rows, "rep long, w long, embedding array<double>")
+    counts = spark.createDataFrame([(k, 19) for k in range(20)], "rep long, n long")
+    assert nn_descent.audit(classes, counts, 0.9, 1000) == (20 / 22, 22)  # of links, 380 of 382
+    monkeypatch.setattr(nn_descent, "audit", lambda *_: (0.99, 22))
+    with pytest.raises(RuntimeError, match="0.9900 of 22"):
+        nn_descent.near_duplicates(classes.selectExpr("rep AS vec_id", "embedding"), forests=2)
+
+
 def test_refinement_finds_neighbours_of_neighbours(spark):
     scratch = Scratch(spark, "refine")
     vectors = spark.createDataFrame([(k, [1.0, 0.01 * k]) for k in range(8)], "rep long, embedding array<double>")

@@ -10,7 +10,10 @@ blocks of that size, each a pass of its own, so what is broadcast stays bounded.
 A document holds an item if it has `percent` or more of the item's different windows and
 the slots agree: over the matched windows, each value in a slot of the item must stand
 for one value in the document, for `percent` of the slots. A copy keeps all slot values;
-a re-parameterised question maps them to others, consistently.
+a re-parameterised question maps them to others, consistently. All places of a window in
+the document count: the first places are judged together, and where they do not agree, so
+is each stretch that is as long as the item, or longer by what `percent` leaves room for,
+and starts where one of its windows does.
 
 Defined cases: a null or empty text holds nothing; an item that is null or has fewer
 template tokens than a window never matches; repeated rows match alike; empty tables give
@@ -101,7 +104,7 @@ class Items:
     """The windows of a block of benchmark items, as a probe table."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int):
-        self.window, self.ids, self.values, self.first, self.needs = window, [], [], [], []
+        self.window, self.ids, self.values, self.first, self.needs, self.long = window, [], [], [], [], []
         hashes, owner = [], []
         for item_id, text in items:
             tokens, value = template(text)
@@ -113,6 +116,7 @@ class Items:
                 self.values.append(value)
                 self.first.append(dict(zip(h.tolist(), first.tolist())))
                 self.needs.append(len(h))
+                self.long.append(len(tokens) - window + 1)
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         o = np.concatenate(owner) if owner else np.zeros(0, np.intp)
         order = np.lexsort((o, h))
@@ -134,20 +138,45 @@ class Items:
         k = np.minimum(np.searchsorted(self.all, h[at]), len(self.all) - 1)
         hit = self.all[k] == h[at]
         at, k = at[hit], k[hit]
-        k, one = np.unique(k, return_index=True)
-        at = at[one]
         n = self.n[k]
         post = np.repeat(self.start[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, where = self.owner[post], np.repeat(at, n)
-        count = np.bincount(item, minlength=len(self.ids))
+        order = np.argsort(item, kind="stable")  # places stay in the order of the document
+        item, where = item[order], where[order]
+        edge = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
         out = []
-        for i in np.flatnonzero(count * 100 >= self.needs * percent):
-            if count[i]:
-                ok, same = self._slots(i, where[item == i], h, value)
-                if ok * 100 >= percent:
-                    out.append((self.ids[i], count[i] / self.needs[i], ok, same))
+        for a, b in zip(edge[:-1], edge[1:]):
+            i, at = int(item[a]), where[a:b]
+            _, first, kind = np.unique(h[at], return_index=True, return_inverse=True)
+            if len(first) * 100 < self.needs[i] * percent:
+                continue
+            ok, same = self._slots(i, at[first], h, value)
+            best = (same == 1.0, ok, same, len(first))
+            if same < 1.0 and len(first) < len(at):
+                for long in (self.long[i], self.long[i] * 100 // percent):
+                    best = max([best, *self._stretches(i, at, kind, h, value, percent, long)])
+            _, ok, same, n = best
+            if ok * 100 >= percent:
+                out.append((self.ids[i], n / self.needs[i], ok, same))
         return out
 
+    def _stretches(self, i: int, at: np.ndarray, kind: np.ndarray, h: np.ndarray, value: np.ndarray, percent: int, long: int):
+        """What each stretch of this length gives that has enough of the item's windows, up to the first copy."""
+        seen, end, enough = np.zeros(int(kind.max()) + 1, np.intp), 0, 0
+        for start in range(len(at)):
+            while end < len(at) and at[end] < at[start] + long:
+                enough += seen[kind[end]] == 0
+                seen[kind[end]] += 1
+                end += 1
+            if enough * 100 >= self.needs[i] * percent:
+                _, first = np.unique(kind[start:end], return_index=True)
+                ok, same = self._slots(i, at[start:end][first], h, value)
+                yield same == 1.0, ok, same, len(first)
+                if same == 1.0:
+                    return
+            seen[kind[start]] -= 1
+            enough -= seen[kind[start]] == 0
+
     def _slots(self, i: int, at: np.ndarray, h: np.ndarray, value: np.ndarray) -> tuple[float, float]:
         """Shares of slots that map consistently, and that keep their value."""
         mine = np.array([self.first[i][x] for x in h[at].tolist()])

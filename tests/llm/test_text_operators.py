@@ -217,6 +217,15 @@ def test_contaminated_documents(spark):
     assert decontaminate.matches(docs.limit(0), bench).count() == 0 == decontaminate.matches(docs, bench.limit(0)).count()
 
 
+def test_a_copy_behind_a_sibling_is_found():
+    item = "Tom has 3 red apples and gives 4 of them to his sister, then Tom buys 3 more apples while 4 birds watch and Tom eats 3 of the 4 pears"
+    sibling = "Tom has 7 red apples and gives 8 of them to his sister, then Tom buys 7 more apples while 8 birds watch"
+    table = decontaminate.Items([(1, item.encode())], 5)
+    for text in (f"{sibling}. {item}.", f"{sibling}. {sibling}. {item}. {sibling}.", f"{item}. {sibling}."):
+        assert [(x[0], x[3]) for x in table.find(text.encode(), 80)] == [(1, 1.0)]
+    assert table.find((sibling + ".").encode(), 80) == []
+
+
 # Rollup
 
 

@@ -27,7 +27,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"), case_blind=True)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,10 @@ the document count: the first places are judged together, and where they do not
 is each stretch that is as long as the item, or longer by what `percent` leaves room for,
 and starts where one of its windows does.
 
+Which words are NAME depends on their case. With `case_blind`, as the queries use it, each
+item also has windows of its case-folded words without NAME, and a document holds an item
+that it holds either way, so copies in capitals or small letters are found too.
+
 Defined cases: a null or empty text holds nothing; an item that is null or has fewer
 template tokens than a window never matches; repeated rows match alike; empty tables give
 no row; other columns are ignored.
@@ -59,8 +63,14 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def template(text) -> tuple[np.ndarray, np.ndarray]:
-    """(template token hashes, slot values; 0 where no slot) of UTF-8 bytes."""
+def folded(text) -> bytes:
+    """UTF-8 bytes without case; A-Z may stay, as hashes do not tell them from a-z."""
+    raw = bytes(text)
+    return raw if raw.isascii() else raw.decode("utf-8", "surrogatepass").casefold().encode("utf-8", "surrogatepass")
+
+
+def template(text, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(template token hashes, slot values; 0 where no slot) of UTF-8 bytes; NAME only with `names`."""
     data = np.frombuffer(text, np.uint8)
     kind = _KIND[data]
     edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
@@ -77,11 +87,13 @@ def template(text) -> tuple[np.ndarray, np.ndarray]:
     joined = number & before_number & (gap == 1) & ~_BLANK[between]
     at = np.minimum(np.searchsorted(_UNITS, h), len(_UNITS) - 1)
     unit = ~number & before_number & (gap <= 1) & (_UNITS[at] == h)
-    sentence = np.concatenate(([0], np.cumsum(_END[data])))
-    opens = np.concatenate(([True], sentence[starts[1:]] != sentence[ends[:-1]]))
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    name = _UPPER[data[starts]] & ~number & ~unit & (ends - starts > 1) & ~_UPPER[second] & ~opens
-    joined |= name & np.concatenate(([False], name[:-1])) & (gap == 1) & _BLANK[between]
+    name = np.zeros(len(starts), bool)
+    if names:
+        sentence = np.concatenate(([0], np.cumsum(_END[data])))
+        opens = np.concatenate(([True], sentence[starts[1:]] != sentence[ends[:-1]]))
+        second = data[np.minimum(starts + 1, len(data) - 1)]
+        name = _UPPER[data[starts]] & ~number & ~unit & (ends - starts > 1) & ~_UPPER[second] & ~opens
+        joined |= name & np.concatenate(([False], name[:-1])) & (gap == 1) & _BLANK[between]
     slot = number | unit | name
     token = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, h)))
     lead = np.flatnonzero(~joined)
@@ -103,16 +115,19 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """The windows of a block of benchmark items, as a probe table."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
+    def __init__(self, items: list[tuple[int, bytes]], window: int, case_blind: bool = False, names: bool = True):
+        self.blind = Items([(k, folded(text)) for k, (_, text) in enumerate(items)], window, names=False) if case_blind else None
+        self.names, self.index, self.given = names, [], [item_id for item_id, _ in items]
         self.window, self.ids, self.values, self.first, self.needs, self.long = window, [], [], [], [], []
         hashes, owner = [], []
-        for item_id, text in items:
-            tokens, value = template(text)
+        for k, (item_id, text) in enumerate(items):
+            tokens, value = template(text, names)
             h, first = np.unique(window_hashes(tokens, window), return_index=True)
             if len(h):
                 hashes.append(h)
                 owner.append(np.full(len(h), len(self.ids)))
                 self.ids.append(item_id)
+                self.index.append(k)
                 self.values.append(value)
                 self.first.append(dict(zip(h.tolist(), first.tolist())))
                 self.needs.append(len(h))
@@ -128,13 +143,22 @@ class Items:
 
     def find(self, text, percent: int):
         """(item id, coverage, consistency, same values) of each item that the text holds."""
+        held = self._held(text, percent)
+        if self.blind is not None:
+            for k, x in self.blind._held(folded(text), percent).items():
+                if k not in held or (x[3] == 1.0 and held[k][3] < 1.0):
+                    held[k] = (self.given[k], *x[1:])
+        return [held[k] for k in sorted(held)]
+
+    def _held(self, text, percent: int) -> dict[int, tuple]:
+        """find(), by the item's place in the list given."""
         if not len(self.all):
-            return []
-        tokens, value = template(text)
+            return {}
+        tokens, value = template(text, self.names)
         h = window_hashes(tokens, self.window)
         at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.intp)])
         if not len(at):
-            return []
+            return {}
         k = np.minimum(np.searchsorted(self.all, h[at]), len(self.all) - 1)
         hit = self.all[k] == h[at]
         at, k = at[hit], k[hit]
@@ -144,7 +168,7 @@ class Items:
         order = np.argsort(item, kind="stable")  # places stay in the order of the document
         item, where = item[order], where[order]
         edge = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
-        out = []
+        out = {}
         for a, b in zip(edge[:-1], edge[1:]):
             i, at = int(item[a]), where[a:b]
             _, first, kind = np.unique(h[at], return_index=True, return_inverse=True)
@@ -157,7 +181,7 @@ class Items:
                     best = max([best, *self._stretches(i, at, kind, h, value, percent, long)])
             _, ok, same, n = best
             if ok * 100 >= percent:
-                out.append((self.ids[i], n / self.needs[i], ok, same))
+                out[self.index[i]] = (self.ids[i], n / self.needs[i], ok, same)
         return out
 
     def _stretches(self, i: int, at: np.ndarray, kind: np.ndarray, h: np.ndarray, value: np.ndarray, percent: int, long: int):
@@ -194,7 +218,7 @@ class Items:
         return agree / len(a), float(np.mean(a == b))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, percent: int = 80, block_chars: int = 8_000_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, percent: int = 80, block_chars: int = 8_000_000, case_blind: bool = False) -> DataFrame:
     """doc_id, item_id, coverage, consistency, kind (copy or reparameterised): a row for each item a document holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -204,7 +228,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, percent: int
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         some = sorted((r.item_id if r.item_id is not None else -1, r.text.encode("utf-8", "surrogatepass")) for r in part.collect())  # about block_chars characters
-        shared = docs.sparkSession.sparkContext.broadcast(Items(some, window))
+        shared = docs.sparkSession.sparkContext.broadcast(Items(some, window, case_blind))
 
         def probe(batches, shared=shared):
             table = shared.value

@@ -226,6 +226,15 @@ def test_a_copy_behind_a_sibling_is_found():
     assert table.find((sibling + ".").encode(), 80) == []
 
 
+def test_copies_in_another_case_are_found(spark, tmp_path):
+    german = "Die Ärztin Änne Übel fährt um 9 Uhr mit der Straßenbahn nach Köln, wo der Bäcker Öhler 3 große Brötchen für Frau Özil bäckt und isst"
+    texts = [ITEM, ITEM.upper(), ITEM.lower(), german.upper(), german.lower(), "Nothing of the kind, only plain words about the weather and the sea."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (2, german)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.item_id, r.kind) for r in queries.op2(spark, str(tmp_path)).collect())
+    assert got == [(k, 1 if k < 3 else 2, "copy") for k in range(5)]
+
+
 # Rollup
 
 

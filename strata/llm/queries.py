@@ -97,7 +97,7 @@ ORACLE_SQL: dict[str, str] = {
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
         r(a, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a),
         m AS (SELECT a, min(c) AS c FROM r GROUP BY a)
-        SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+        SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept, CAST(1 AS DOUBLE) AS recall
         FROM embeddings e JOIN m ON e.vec_id = m.a
     """,
     "op10_minhash_dedup": r"""

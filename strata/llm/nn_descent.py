@@ -11,9 +11,9 @@
    the threshold meet with probability RECALL; they are taken `trees` at a time, so what is
    on disk stays bounded. A bucket larger than a block is compared tile by tile, whole.
 3. Lists hold the `k` nearest balls. A list whose last entry could still hold a link (its
-   angle is at most the threshold's and both radii) is saturated and doubles until it is
-   not, so no possible partner is dropped. Rounds of neighbours-of-neighbours joins over
-   the `k` nearest refine the graph.
+   angle is at most the threshold's and both radii) is saturated: it takes in all such
+   partners, so none is dropped, and what it gives to the next round of
+   neighbours-of-neighbours joins doubles.
 4. Threshold edges: two single classes link by their cosine. Balls link whole where the
    triangle inequality proves it; else all members of the larger ball are compared with all
    members of all its possible partners, tile by tile, giving counts and no pairs.
@@ -40,6 +40,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strata.llm.components import components
 from strata.llm.scratch import Scratch
@@ -267,29 +268,23 @@ def _meet(scratch: Scratch, members: DataFrame, units: DataFrame, some: range, b
     return found
 
 
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """Each ball's k nearest, as (u, v), from pairs in one direction. The rest of a list, every possible partner, stays in the pairs."""
-    both = pairs.select("u", "v", "cos").union(pairs.select("v", "u", "cos"))
-    rank = F.row_number().over(_by("u").orderBy(F.col("cos").desc(), "v"))
-    return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("u", "v")
-
-
-def _by(c: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(c)
+def _nearest(pairs: DataFrame, k: int, doubled: int) -> DataFrame:
+    """Each ball's k nearest, as (u, v), from pairs in one direction; of a saturated list, doubled so often, all possible partners that fit."""
+    both = pairs.select("u", "v", "cos", "link").union(pairs.select("v", "u", "cos", "link"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("cos").desc(), "v"))
+    return both.withColumn("rank", rank).filter((F.col("rank") <= k) | (F.col("link") & (F.col("rank") <= k << doubled))).select("u", "v")
 
 
 def refine(scratch: Scratch, pairs: DataFrame, units: DataFrame, k: int, explore: float, threshold: float, rounds: int) -> DataFrame:
     """Pairs after neighbours-of-neighbours joins, until hardly any is added or the rounds are used up.
 
-    Lists are as long as they need be: a round keeps all pairs that could hold a link,
-    whatever k, and joins each ball's k nearest with those of its neighbours.
+    A round keeps all pairs that could hold a link, whatever k. It joins each ball's k
+    nearest with those of its neighbours; lists still saturated are doubled from round to round.
     """
     angle = math.acos(threshold)
     left, right = units.toDF("u", "x", "ru"), units.toDF("v", "y", "rv")
     for n in range(rounds):
-        near = scratch.save(_nearest(pairs, k), "lists")
+        near = scratch.save(_nearest(pairs, k, n), "lists")
         a, b = near.alias("a"), near.alias("b")
         reach = a.join(b, F.col("a.v") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.v").alias("v")).filter("u < v").distinct()
         new = reach.join(pairs.select("u", "v"), ["u", "v"], "left_anti").join(left, "u").join(right, "v").withColumn("r", F.col("ru") + F.col("rv"))

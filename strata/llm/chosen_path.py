@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
     sets = sets_of(scratch, docs, _ends(first), shingle)
     forest = _roots(scratch, confirm(first, sets, percent))
     joined = scratch.save(forest.select("node", "component"), "joined")
-    scratch.drop(sets, forest)
+    scratch.drop(forest)
     open_pairs = scratch.save(_apart(candidates.select("a", "b"), joined), "open")
     blocks = _blocks(scratch, large, joined) if large is not None else None
     if blocks is None or blocks.isEmpty():
@@ -289,13 +289,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, recall
     else:
         wanted = _ends(open_pairs).union(blocks.select(F.col("rep").alias("doc_id")))
     if blocks is not None or not open_pairs.isEmpty():
-        sets = sets_of(scratch, docs, wanted, shingle)
+        # Texts are fetched once: sets that the first step made are used again.
+        wanted = scratch.save(wanted.distinct(), "wanted")
+        again = sets.join(wanted, "doc_id", "left_semi")
+        sets = again.union(sets_of(scratch, docs, wanted.join(_ends(first), "doc_id", "left_anti"), shingle))
         links = confirm(open_pairs, sets, percent)
         if blocks is not None:
             full = blocks.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
             links = links.union(full.groupBy("pivot", "o", "m").applyInPandas(_block_links(percent), "a long, b long"))
         links = scratch.save(links, "links")
-        scratch.drop(sets)
         ca, cb = joined.toDF("a", "ca"), joined.toDF("b", "cb")
         between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         merged = scratch.save(components(scratch, between), "merged")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -64,14 +64,32 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Ids that a join sends to every executor: about 30 MB there. More are joined by shuffling both sides.
-BROADCAST_IDS = 1_000_000
+BITMAP = 1 << 26  # bits: at most 8 MB are broadcast, whatever the number of ids
+_PAGE = 32768  # bits of one row of the bitmap, as Spark's bitmap functions have them
+
+
+def _bit(column: str, of: DataFrame | None = None) -> tuple[Column, Column]:
+    """(page, position in the page) of the bit that stands for an id."""
+    at = F.pmod(F.xxhash64(F.col(column) if of is None else of[column]), F.lit(BITMAP))
+    return F.floor(at / _PAGE).cast("int"), F.pmod(at, F.lit(_PAGE))
 
 
 def by_ids(scratch: Scratch, rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """left_semi or left_anti of wide rows with doc_id and a table of ids, counted first.
+    """left_semi or left_anti of wide rows with doc_id and a table of ids of any size, by one plan at every size.
 
-    Where the ids are few enough to send around, the rows stay where they are read.
+    A bitmap of the ids' hashes, bounded by BITMAP, is broadcast and settles where they are
+    read nearly all rows that have no id in the table; only the others are shuffled and
+    joined with the ids themselves. With far more ids than bits the bitmap settles little
+    and all rows are shuffled once. Rows with a null doc_id match nothing.
     """
-    ids = scratch.save(ids.select("doc_id").distinct(), "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    ids = scratch.save(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "ids")
+    page, at = _bit("doc_id")
+    pages = ids.groupBy(page.alias("__page")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    pages = F.broadcast(scratch.save(pages, "bitmap"))
+    page, at = _bit("doc_id", rows)
+    byte = F.conv(F.hex(F.substring(pages["__bits"], F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = (page == pages["__page"]) & (F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))) % 2 == 1)
+    maybe = rows.join(pages, marked, "left_semi").join(ids.hint("merge"), "doc_id", how)
+    if how == "left_semi":
+        return maybe.select(rows.columns)
+    return rows.join(pages, marked, "left_anti").union(maybe.select(rows.columns))

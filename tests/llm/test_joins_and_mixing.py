@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.llm import chosen_path, mixture, nn_descent
+from strata.llm import scratch as scratch_module
 from strata.llm.components import components
 from strata.llm.scratch import Scratch
 
@@ -307,3 +308,21 @@ def test_a_draw_matches_the_exact_distribution(spark):
     got = {r.x: r["count"] for r in df.select(F.expr(draw).alias("x")).groupBy("x").count().collect()}
     for x in range(7):
         assert abs(got.get(x, 0) - 2000 * comb(6, x) * comb(14, 9 - x) / comb(20, 9)) < 2
+
+
+# Rows by id
+
+
+@pytest.mark.parametrize("bits", [scratch_module.BITMAP, 1 << 6])
+def test_rows_by_ids_whether_the_bitmap_settles_much_or_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(scratch_module, "BITMAP", bits)
+    rows = spark.range(3000).selectExpr("id * 7 - 700 AS doc_id", "'x' AS __page", "id AS ids").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'y', 0L"))
+    ids = spark.range(0, 21000, 21).selectExpr("id AS doc_id").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    scratch = Scratch(spark, "ids")
+    for how in ("left_semi", "left_anti"):
+        got = scratch_module.by_ids(scratch, rows, ids, how)
+        assert got.columns == rows.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(ids, "doc_id", how).select(rows.columns).collect()))
+    assert scratch_module.by_ids(scratch, rows, ids.limit(0), "left_anti").count() == 3001
+    plan = scratch_module.by_ids(scratch, rows, ids, "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "SortMergeJoin" in plan

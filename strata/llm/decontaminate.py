@@ -89,8 +89,8 @@ def template(text, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
     unit = ~number & before_number & (gap <= 1) & (_UNITS[at] == h)
     name = np.zeros(len(starts), bool)
     if names:
-        sentence = np.concatenate(([0], np.cumsum(_END[data])))
-        opens = np.concatenate(([True], sentence[starts[1:]] != sentence[ends[:-1]]))
+        stops = np.flatnonzero(_END[data])
+        opens = np.concatenate(([True], np.searchsorted(stops, starts[1:]) != np.searchsorted(stops, ends[:-1])))
         second = data[np.minimum(starts + 1, len(data) - 1)]
         name = _UPPER[data[starts]] & ~number & ~unit & (ends - starts > 1) & ~_UPPER[second] & ~opens
         joined |= name & np.concatenate(([False], name[:-1])) & (gap == 1) & _BLANK[between]

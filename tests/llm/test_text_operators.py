@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strata.llm import chat, decontaminate, language_id, quality, queries, token_files, token_rollup, url_filter
+from strata.llm import bytewords, chat, chosen_path, decontaminate, language_id, quality, queries, token_files, token_rollup, url_filter
 from strata.llm.bytewords import shingle_set, word_hashes
 from strata.llm.encode import load
 from strata.llm.scratch import Scratch
@@ -33,6 +33,20 @@ def test_words_and_shingles_against_sets(text):
         assert len(shingle_set(got, n)) == len(want)
 
 
+def test_a_word_of_any_length_is_hashed_in_pieces(monkeypatch):
+    monkeypatch.setattr(bytewords, "_SEGMENT", 5000)
+    words = [b"a", b"Q" * 4096, b"q" * 4097, b"z" * 30_000, b"b", b"z" * 30_001, b"Z" * 30_000]
+    got = word_hashes(b" ".join(words) + b" ")
+    assert (got == np.concatenate([word_hashes(w) for w in words])).all()
+    assert len(set(got.tolist())) == 6 and got[3] == got[6]
+
+
+@pytest.mark.parametrize("operator", [lambda d: chosen_path.near_duplicates(d), lambda d: decontaminate.matches(d, d.selectExpr("doc_id AS item_id", "text")), lambda d: quality.score(d, quality.Model(20, np.ones(quality.TRIGRAMS + (1 << 20), bool), np.zeros(quality.TRIGRAMS + (1 << 20), np.float32), np.zeros(2)))])
+def test_a_word_of_thirty_megabytes(spark, operator):
+    docs = spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string").selectExpr("doc_id", "CASE WHEN doc_id = 1 THEN repeat('Ab', 15000000) ELSE text END AS text")
+    assert {r[0] for r in operator(docs).collect()} <= {1, 2}
+
+
 def test_long_text_in_segments_equals_whole(monkeypatch):
     import strata.llm.bytewords as b
 

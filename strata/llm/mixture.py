@@ -13,8 +13,14 @@ Everything here is DataFrame and SQL functions.
    a node of the tree draws how many blocks of each source go left from the multivariate
    hypergeometric distribution, source by source, by inverting its exact distribution
    function within 9 standard deviations of the mode. Leaves are exact quotas.
-4. Blocks of a source, permuted anew, go to the shards in stretches of these quotas, so
-   they are disjoint; rows of a shard are ordered by a hash of their own.
+4. The blocks drawn from a source are permuted anew and numbered; each shard has the stretch
+   of numbers that its quota gives it, so what shards draw is disjoint. A document is taken
+   as often as the shards hold its block, but for those of the edge that do not fit.
+5. The mix itself is dealt by shard and each shard is shuffled locally, by a seeded hash.
+
+Numbers and running sums over the blocks of a source are two-level: sums of SLICES ranges
+of the permuting hash come first, so no task has to see a whole source. Only tables with a
+row for each source (targets, the nodes of the tree) are taken as a whole.
 
 The hashes are seeded, so reruns agree.
 
@@ -25,6 +31,8 @@ row. Other columns are kept by mix() and ignored by plan().
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +41,8 @@ from strata.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 FILLS = 4
+SLICES = 1024
+SHARD_WORDS = 8_000_000
 
 
 def _uniform(*of: str) -> str:
@@ -76,10 +86,14 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 
 def _split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(sid, shard, hi): each source's blocks up to rank hi belong to shards up to this one."""
+    """(sid, shard, q, hi): a shard has q blocks of the source, those with the numbers up to hi."""
     node = quotas.agg(F.array_sort(F.collect_list(F.struct("sid", "q"))).alias("all"))
     node = node.select(F.col("all.sid").alias("sids"), F.transform("all", lambda x: x.q).alias("q"), F.lit(0).alias("first"), F.lit(shards).alias("width")).filter(F.size("q") > 0)
+    level = 0
     while shards > 1:
+        level += 1
+        if level % 8 == 0:  # some hundred nodes by now: deal them out
+            node = node.repartition("first")
         draw = _hypergeometric("q[i]", "st.total", "st.n", _uniform("i", "first", "width", str(seed)))
         left = f"""aggregate(sequence(0, size(q) - 1), named_struct('total', aggregate(q, 0L, (s, y) -> s + y), 'n', go, 'out', CAST(array() AS ARRAY<BIGINT>)),
             (st, i) -> transform(array({draw}), d -> named_struct('total', st.total - q[i], 'n', st.n - d, 'out', concat(st.out, array(d))))[0],
@@ -93,14 +107,36 @@ def _split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         node = node.select("sids", F.explode(parts).alias("p")).select("sids", "p.q", "p.first", "p.width")
         shards = (shards + 1) // 2
     flat = node.select(F.col("first").alias("shard"), F.posexplode(F.arrays_zip("sids", "q")).alias("k", "z")).select("shard", F.col("z.sids").alias("sid"), F.col("z.q").alias("q"))
-    upto = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return flat.withColumn("hi", F.sum("q").over(upto)).filter("q > 0").select("sid", "shard", "hi")
+    part = F.floor(F.col("shard") / SLICES)
+    flat = _running(flat.withColumn("slice", part), ["sid"], "slice", ["shard"], "q", "hi")
+    return flat.filter("q > 0").select("sid", "shard", "q", "hi")
+
+
+def _running(rows: DataFrame, by: list[str], slice_: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Running sum of `value` within `by`, in the order of (slice, order), the slices summed first."""
+    first = rows.groupBy(*by, slice_).agg(F.sum(value).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*by).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1))
+    first = first.select(*by, slice_, F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy(*by, slice_).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn(name, within).join(first, [*by, slice_]).withColumn(name, F.col(name) + F.col("__before")).drop("__before", slice_)
+
 
+def _permuted(rows: DataFrame, seed: int, *of: str) -> DataFrame:
+    """Rows with a seeded hash `__p` and its slice."""
+    p = F.xxhash64(*of, F.lit(seed))
+    return rows.withColumn("__p", p).withColumn("__slice", F.pmod("__p", F.lit(SLICES)))
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 100_000, shards: int = 8, seed: int = 20240229) -> DataFrame:
-    """doc_id, size, source_size, target, taken, shards (one entry for each copy): a row for each row of docs."""
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 100_000, shards: int | None = None, seed: int = 20240229) -> DataFrame:
+    """doc_id, size, source_size, target, taken, shards (one entry for each copy): a row for each row of docs.
+
+    Without a number of shards there is one for each SHARD_WORDS words.
+    """
     scratch = Scratch(docs.sparkSession, "mixture")
-    return _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)[0].select("doc_id", "size", "source_size", "target", "taken", "shards")
+    rows, _, placed, chosen = _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)
+    out = _taken(rows, placed, chosen)
+    places = F.coalesce(F.transform("taken", lambda p: p.shard), F.array().cast("array<int>"))
+    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.size(places) * F.col("size")).cast("long").alias("taken"), places.alias("shards"))
 
 
 def _size() -> Column:
@@ -108,14 +144,21 @@ def _size() -> Column:
 
 
 def _placed(rows: DataFrame, key: DataFrame, seed: int) -> DataFrame:
-    """Rows (doc_id, source, size, ...) with their source's figures, hash and block."""
+    """Rows (doc_id, source, size, th, ...) with their source's figures, hash and block."""
     rows = rows.join(key, rows["source"].eqNullSafe(key["s"])).drop("s")
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "source", "size", F.lit(seed)))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "source", "size", "th", F.lit(seed)))
     return rows.withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("n")))
 
 
+def _taken(rows: DataFrame, placed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows with `taken`, the places (extra, pass, shard) where shards have them: those of their block, the edge's only if chosen."""
+    out = rows.join(placed, ["sid", "block"], "left").join(chosen, ["sid", "h"], "left")
+    edge = F.coalesce("edge", F.lit(False)) & ~F.coalesce("chosen", F.lit(False))
+    return out.withColumn("taken", F.when(F.col("size") > 0, F.filter("placed", lambda p: ~(p.extra & edge))))
+
+
 def _plan(scratch: Scratch, docs: DataFrame, weights, most, block_words, shards, seed) -> tuple[DataFrame, ...]:
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), F.monotonically_increasing_id().alias("row"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"))
     sized = scratch.save(sized, "sized")
     src = targets(sized, weights, most)
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
@@ -126,14 +169,15 @@ def _plan(scratch: Scratch, docs: DataFrame, weights, most, block_words, shards,
     rows = scratch.save(_placed(sized, key, seed), "rows")
 
     blocks = rows.filter("size > 0").groupBy("sid", "block").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("sid").orderBy(F.xxhash64("sid", "block", F.lit(seed + 1)), "block")
-    cum = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    blocks = blocks.join(src.select("sid", "rest", "times"), "sid").withColumn("cum", cum)
+    blocks = _running(_permuted(blocks, seed + 1, "sid", "block"), ["sid"], "__slice", ["__p", "block"], "words", "cum").drop("__p")
+    blocks = blocks.join(src.select("sid", "rest", "times"), "sid")
     part = F.when(F.col("cum") <= F.col("rest"), 1).when(F.col("cum") - F.col("words") < F.col("rest"), 2).otherwise(0)  # whole, the edge, none
     blocks = scratch.save(blocks.withColumn("part", part).withColumn("left", F.col("rest") - F.col("cum") + F.col("words")), "blocks")
 
     # The block at the edge, bounded by block_words and one document: documents that fit, in a random order.
+    # Equal rows (sid, h) are taken alike, so they count as one with their summed size.
     edge = rows.filter("size > 0").join(blocks.filter("part = 2").select("sid", "block", "left"), ["sid", "block"])
+    edge = edge.groupBy("sid", "h", "left").agg(F.sum("size").alias("size"), F.min("row").alias("row"))
     edge = edge.select("sid", "row", "size", "h", "left", F.lit(False).alias("in"))
     within = Window.partitionBy("sid").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("sid")
@@ -143,39 +187,33 @@ def _plan(scratch: Scratch, docs: DataFrame, weights, most, block_words, shards,
         edge = edge.withColumn("left", F.col("left") - F.sum(F.when(F.col("new"), F.col("size")).otherwise(0)).over(group)).withColumn("in", F.col("in") | F.col("new"))
     near = F.min(F.when(~F.col("in"), F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "row"))).over(group)
     edge = edge.withColumn("near", near).withColumn("in", F.col("in") | F.coalesce((F.col("near.row") == F.col("row")) & (F.col("near.off") < F.col("left")), F.lit(False)))
-    chosen = edge.filter("in").select("row", F.lit(True).alias("chosen"))
+    chosen = scratch.save(edge.filter("in").select("sid", "h", F.lit(True).alias("chosen")).distinct(), "chosen")
 
     drawn = blocks.select("sid", "block", "part", F.explode(F.sequence(F.lit(1), F.lit(most + 1))).alias("pass"), "times")
     drawn = drawn.filter((F.col("pass") <= F.col("times")) | ((F.col("pass") == F.col("times") + 1) & (F.col("part") > 0)))
-    drawn = scratch.save(drawn.select("sid", "block", (F.col("pass") > F.col("times")).alias("extra"), "pass"), "drawn")
-    bounds = _split(drawn.groupBy("sid").agg(F.count(F.lit(1)).alias("q")), shards, seed)
-    bounds = scratch.save(bounds, "bounds").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("hi", "shard"))).alias("bounds"))
-    rank = F.row_number().over(Window.partitionBy("sid").orderBy(F.xxhash64("sid", "block", "pass", F.lit(seed + 2)), "block", "pass"))
-    placed = drawn.withColumn("rank", rank).join(bounds, "sid")
-    shard = F.element_at(F.filter("bounds", lambda b: b.hi >= F.col("rank")), 1).shard
-    placed = placed.select("sid", "block", F.struct("extra", shard.alias("shard")).alias("p"))
-    placed = scratch.save(placed.groupBy("sid", "block").agg(F.array_sort(F.collect_list("p")).alias("placed")), "placed")
-
-    whole = blocks.filter("part = 1").select("sid", "block", F.lit(True).alias("whole"))
-    out = rows.join(placed, ["sid", "block"], "left").join(whole, ["sid", "block"], "left").join(chosen, "row", "left")
-    more = F.coalesce("whole", F.lit(False)) | F.coalesce("chosen", F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("times") + more.cast("int")).otherwise(0)
-    places = F.when(F.col("size") > 0, F.transform(F.filter("placed", lambda p: ~p.extra | more), lambda p: p.shard))
-    out = out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (copies * F.col("size")).cast("long").alias("taken"), F.coalesce(places, F.array().cast("array<int>")).alias("shards"))
-    return out, key, whole, edge.filter("in").select("sid", "h", F.lit(True).alias("chosen")).distinct()
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 100_000, shards: int = 8, seed: int = 20240229) -> DataFrame:
-    """The mix itself: rows of docs (doc_id, source, text and others), each as often as it is taken.
-
-    The decisions are small tables (sources, blocks, documents at the edge), so the texts
-    themselves are not moved. Rows equal in doc_id, source and size are taken alike.
+    drawn = drawn.select("sid", "block", (F.col("pass") > F.col("times")).alias("extra"), (F.col("part") == 2).alias("edge"), "pass", F.lit(1).cast("long").alias("one"))
+    drawn = _running(_permuted(drawn, seed + 2, "sid", "block", "pass"), ["sid"], "__slice", ["__p", "block", "pass"], "one", "number")
+    drawn = scratch.save(drawn.drop("__p", "one"), "drawn")
+    if shards is None:
+        words = src.agg(F.sum("target")).first()[0] or 0
+        shards = max(1, math.ceil(words / SHARD_WORDS))
+    quotas = scratch.save(_split(drawn.groupBy("sid").agg(F.count(F.lit(1)).alias("q")), shards, seed), "quotas")
+    numbers = quotas.select("sid", "shard", F.explode(F.sequence(F.col("hi") - F.col("q") + 1, F.col("hi"))).alias("number"))
+    placed = drawn.join(numbers, ["sid", "number"]).select("sid", "block", "edge", F.struct("extra", "pass", "shard").alias("p"))
+    placed = scratch.save(placed.groupBy("sid", "block").agg(F.array_sort(F.collect_list("p")).alias("placed"), F.max("edge").alias("edge")), "placed")  # at most `most` + 1 places
+    return rows, key, placed, chosen
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 100_000, shards: int | None = None, seed: int = 20240229, shard_column: str | None = None) -> DataFrame:
+    """The mix itself: rows of docs (doc_id, source, text and others), each as often as it is taken, by shard and shuffled within.
+
+    What is taken is decided on small tables (sources, blocks, documents at the edge); the
+    texts move once, to their shards. Rows equal in doc_id, source and text are taken alike.
     """
     scratch = Scratch(docs.sparkSession, "mixture")
-    _, key, whole, chosen = _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"))
-    rows = _placed(rows.filter("size > 0"), key, seed)
-    rows = rows.join(scratch.save(whole, "whole"), ["sid", "block"], "left").join(scratch.save(chosen, "chosen"), ["sid", "h"], "left")
-    more = F.coalesce("whole", F.lit(False)) | F.coalesce("chosen", F.lit(False))
-    rows = rows.withColumn("copies", F.col("times") + more.cast("int")).filter("copies > 0")
-    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
+    _, key, placed, chosen = _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64("text").alias("th"))
+    rows = _taken(_placed(rows.filter("size > 0"), key, seed), placed, chosen).select("doc", "h", F.explode("taken").alias("p"))
+    rows = rows.select("doc", F.col("p.shard").alias("shard"), F.xxhash64("h", "p.shard", "p.pass", F.lit(seed + 3)).alias("at"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "at")
+    return rows.select("doc.*", *([F.col("shard").alias(shard_column)] if shard_column else []))

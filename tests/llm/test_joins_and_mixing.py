@@ -267,12 +267,56 @@ def test_mixture(spark):
     again = mixture.plan(df.repartition(2), block_words=150, shards=5).collect()
     key = lambda r: (r.doc_id, r.size, r.taken)
     assert sorted(map(key, got)) == sorted(map(key, again))
-    mixed = mixture.mix(df, block_words=150)
+    mixed = mixture.mix(df, block_words=150, shards=5)
     assert mixed.columns == df.columns
     assert mixed.filter("doc_id > 0").count() == sum(r.taken // r.size for r in got if r.size and r.doc_id)
     assert mixture.plan(df.limit(0)).count() == 0 == mixture.mix(df.limit(0)).count()
 
 
+def test_shards_hold_their_quotas_and_are_shuffled(spark):
+    rng = random.Random(1)
+    rows = [(k, "abc"[k % 3], " ".join(["w"] * rng.randrange(1, 60))) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    scratch = Scratch(spark, "quotas")
+    sized, key, placed, chosen = mixture._plan(scratch, df, (1, 2, 3), 3, 200, 7, 5)
+    drawn, quota = defaultdict(int), defaultdict(int)
+    for r in placed.collect():
+        for p in r.placed:
+            drawn[r.sid, p.shard] += 1
+    assert len({(r.sid, r.block, p["pass"]) for r in placed.collect() for p in r.placed}) == sum(drawn.values())
+    blocks = defaultdict(int)
+    for (sid, _), n in drawn.items():
+        blocks[sid] += n
+    rows_of = mixture._split(spark.createDataFrame(list(blocks.items()), "sid int, q long"), 7, 5).collect()
+    for r in rows_of:
+        quota[r.sid, r.shard] = r.q
+    assert dict(drawn) == dict(quota)
+    planned = defaultdict(list)
+    for r in mixture.plan(df, block_words=200, shards=7, seed=5).collect():
+        for s in r.shards:
+            planned[s].append(r.doc_id)
+    mixed = mixture.mix(df, block_words=200, shards=7, seed=5, shard_column="shard").collect()
+    dealt = defaultdict(list)
+    for r in mixed:
+        dealt[r.shard].append(r.doc_id)
+    assert {s: sorted(d) for s, d in dealt.items()} == {s: sorted(d) for s, d in planned.items()}
+    assert [r.shard for r in mixed] == sorted((r.shard for r in mixed), key=[r.shard for r in mixed].index)  # each shard in one run
+    apart = sum(a != b for d in dealt.values() for a, b in zip(d, d[1:])) / (len(mixed) - 7)
+    assert apart > 0.9 and all(d != sorted(d) for d in dealt.values())
+    again = [(r.shard, r.doc_id) for r in mixture.mix(df.repartition(2), block_words=200, shards=7, seed=5, shard_column="shard").collect()]
+    assert sorted(again) == sorted((r.shard, r.doc_id) for r in mixed)
+    assert [d for s, d in again if s == 3] == dealt[3]
+
+
+def test_running_sums_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "SLICES", 4)
+    rows = mixture._permuted(spark.range(200).selectExpr("id % 3 AS sid", "id AS block", "id AS q"), 1, "sid", "block")
+    got = mixture._running(rows, ["sid"], "__slice", ["__p", "block"], "q", "cum").collect()
+    for sid in range(3):
+        mine = sorted((r for r in got if r.sid == sid), key=lambda r: r.cum)
+        assert [r.cum - r.q for r in mine] == [0, *(r.cum for r in mine)][: len(mine)] and len(mine) in (66, 67)
+
+
 def test_the_plan_of_a_mixture_is_native(spark):
     df = spark.createDataFrame([(1, "a", "x y")], "doc_id long, source string, text string")
     plan = mixture.plan(df)._jdf.queryExecution().toString()

@@ -2,14 +2,16 @@
 
 A text becomes a sequence of template tokens: runs of letters, lower-cased, and in their
 place typed placeholders for numbers (NUM, with inner separators), for units after a
-number (UNIT) and for capitalised words inside a sentence (NAME, in a row taken as one).
+number (UNIT) and for capitalised words (NAME, in a row taken as one; a word that opens a
+sentence counts too, as it may be a name and its place tells nothing after re-wrapping).
+Typographic quotes, dashes and spaces are signs like those of ASCII.
 Windows of `window` template tokens are hashed. The benchmark's windows form a hash table
 that documents probe; where the benchmark is larger than `block_chars`, it is taken in
 blocks of that size, each a pass of its own, so what is broadcast stays bounded.
 
 A document holds an item if it has `percent` or more of the item's different windows and
 the slots agree: over the matched windows, each value in a slot of the item must stand
-for one value in the document, for `percent` of the slots. A copy keeps all slot values;
+for one value in the document, and the other way round, for `percent` of the slots. A copy keeps all slot values;
 a re-parameterised question maps them to others, consistently. All places of a window in
 the document count: the first places are judged together, and where they do not agree, so
 is each stretch that is as long as the item, or longer by what `percent` leaves room for,
@@ -27,6 +29,7 @@ no row; other columns are ignored.
 from __future__ import annotations
 
 import math
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.bytewords import hash_runs, mix, utf8
-from strata.llm.scratch import Scratch, by_ids
 
 # Words that are units after a number.
 UNITS = """percent km m cm mm mi miles mile feet foot ft inches inch yards kg g mg lb lbs pounds ounces oz tons l ml
@@ -45,12 +47,37 @@ _KIND = np.zeros(256, np.int8)
 _KIND[48:58] = 1
 _KIND[65:91] = _KIND[97:123] = 2
 _KIND[128:] = 2
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_END = np.zeros(256, bool)
-_END[[ord(c) for c in ".!?\n\r|"]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(9, 14)]] = True
+
+
+def _capitals() -> np.ndarray:
+    """Whether a capital starts with these two bytes, by 256 * first + second."""
+    out = np.zeros(1 << 16, bool)
+    for c in range(0x41, 0x800):
+        if chr(c).isupper():
+            raw = chr(c).encode()
+            at = raw[0] << 8
+            out[at + raw[1] if len(raw) == 2 else slice(at, at + 256)] = True
+    return out
+
+
+_CAPITAL = _capitals()
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """0 for signs and blanks, 1 for digits, 2 for letters, byte by byte; signs beyond ASCII are told from letters by their block."""
+    kind = _KIND[data]
+    two = np.flatnonzero(data[:-1] == 0xC2)  # U+0080 to U+00BF: signs but for three letters
+    two = two[~np.isin(data[two + 1], (0xAA, 0xB5, 0xBA))]
+    kind[two] = kind[two + 1] = 0
+    lead = np.flatnonzero((data[:-2] == 0xE2) | (data[:-2] == 0xE3))
+    sign = ((data[lead] == 0xE2) & np.isin(data[lead + 1], (0x80, 0x81))) | ((data[lead] == 0xE3) & (data[lead + 1] == 0x80))
+    lead = lead[sign]  # U+2000 to U+207F, U+3000 to U+303F: quotes, dashes, spaces
+    kind[lead] = kind[lead + 1] = kind[lead + 2] = 0
+    return kind
+
+
 NUM, UNIT, NAME = (np.uint64(k) for k in (0xA11CE5, 0xB0B0B0, 0xCAFE01))
 
 
@@ -63,6 +90,15 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
+def composed(text) -> bytes:
+    """UTF-8 bytes with composed accents."""
+    raw = bytes(text)
+    if raw.isascii():
+        return raw
+    known = raw.decode("utf-8", "surrogatepass")
+    return raw if unicodedata.is_normalized("NFC", known) else unicodedata.normalize("NFC", known).encode("utf-8", "surrogatepass")
+
+
 def folded(text) -> bytes:
     """UTF-8 bytes without case; A-Z may stay, as hashes do not tell them from a-z."""
     raw = bytes(text)
@@ -72,7 +108,7 @@ def folded(text) -> bytes:
 def template(text, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(template token hashes, slot values; 0 where no slot) of UTF-8 bytes; NAME only with `names`."""
     data = np.frombuffer(text, np.uint8)
-    kind = _KIND[data]
+    kind = _kinds(data)
     edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
     ends = np.append(edge[1:], len(data))
     real = kind[edge] > 0
@@ -89,10 +125,10 @@ def template(text, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
     unit = ~number & before_number & (gap <= 1) & (_UNITS[at] == h)
     name = np.zeros(len(starts), bool)
     if names:
-        stops = np.flatnonzero(_END[data])
-        opens = np.concatenate(([True], np.searchsorted(stops, starts[1:]) != np.searchsorted(stops, ends[:-1])))
-        second = data[np.minimum(starts + 1, len(data) - 1)]
-        name = _UPPER[data[starts]] & ~number & ~unit & (ends - starts > 1) & ~_UPPER[second] & ~opens
+        last = len(data) - 1
+        pair = lambda k: _CAPITAL[(data[np.minimum(k, last)].astype(np.int32) << 8) + data[np.minimum(k + 1, last)]]
+        second = starts + np.where(data[starts] < 128, 1, 2)
+        name = pair(starts) & ~number & ~unit & (ends > second) & ~(pair(second) & (second < ends))
         joined |= name & np.concatenate(([False], name[:-1])) & (gap == 1) & _BLANK[between]
     slot = number | unit | name
     token = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, h)))
@@ -121,7 +157,7 @@ class Items:
         self.window, self.ids, self.values, self.first, self.needs, self.long = window, [], [], [], [], []
         hashes, owner = [], []
         for k, (item_id, text) in enumerate(items):
-            tokens, value = template(text, names)
+            tokens, value = template(composed(text), names)
             h, first = np.unique(window_hashes(tokens, window), return_index=True)
             if len(h):
                 hashes.append(h)
@@ -143,6 +179,7 @@ class Items:
 
     def find(self, text, percent: int):
         """(item id, coverage, consistency, same values) of each item that the text holds."""
+        text = composed(text)
         held = self._held(text, percent)
         if self.blind is not None:
             for k, x in self.blind._held(folded(text), percent).items():
@@ -214,21 +251,26 @@ class Items:
         if not len(a):
             return 1.0, 1.0
         pair, n = np.unique(np.stack((a, b)), axis=1, return_counts=True)
-        agree = sum(int(n[pair[0] == v].max()) for v in np.unique(pair[0]))
+        agree = min(sum(int(n[side == v].max()) for v in np.unique(side)) for side in pair)  # one value for one value, both ways
         return agree / len(a), float(np.mean(a == b))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, percent: int = 80, block_chars: int = 8_000_000, case_blind: bool = False) -> DataFrame:
-    """doc_id, item_id, coverage, consistency, kind (copy or reparameterised): a row for each item a document holds."""
+def _tables(benchmark: DataFrame, window: int, block_chars: int, case_blind: bool):
+    """Broadcast probe tables of blocks of the benchmark, of about block_chars characters each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        some = sorted((r.item_id if r.item_id is not None else -1, r.text.encode("utf-8", "surrogatepass")) for r in part.collect())  # about block_chars characters
-        shared = docs.sparkSession.sparkContext.broadcast(Items(some, window, case_blind))
+        some = sorted(((r.item_id, r.text.encode("utf-8", "surrogatepass")) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield benchmark.sparkSession.sparkContext.broadcast(Items(some, window, case_blind))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, percent: int = 80, block_chars: int = 8_000_000, case_blind: bool = False) -> DataFrame:
+    """doc_id, item_id, coverage, consistency, kind (copy or reparameterised): a row for each item a document holds."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for shared in _tables(benchmark, window, block_chars, case_blind):
 
         def probe(batches, shared=shared):
             table = shared.value
@@ -252,7 +294,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 5, percent: int
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no item; all columns. Rows without doc_id stay."""
-    scratch = Scratch(docs.sparkSession, "clean")
-    return by_ids(scratch, docs, matches(docs, benchmark, **options), "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 5, percent: int = 80, block_chars: int = 8_000_000, case_blind: bool = False) -> DataFrame:
+    """The rows of docs that hold no item, with all columns. Each row is judged by its own text, whatever its doc_id."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text = docs.columns.index("text")
+    for shared in _tables(benchmark, window, block_chars, case_blind):
+
+        def free(batches, shared=shared):
+            table = shared.value
+            for batch in batches:
+                texts = (utf8(t) for t in batch.column(text))
+                yield batch.filter(pa.array([not (t and table.find(t, percent)) for t in texts], pa.bool_()))
+
+        rows = rows.mapInArrow(free, rows.schema)
+    return rows.toDF(*docs.columns)

@@ -179,3 +179,18 @@ def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
     out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score", "rejected")
+
+
+def recognised(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df that the model does not reject, with all columns, whatever their names."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # dims x centroids floats, set by parameters
+    at = df.columns.index(text)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            texts = batch.column(at)
+            yield batch.filter(pa.array([not m.predict([texts[k].as_py()])[0][2] for k in range(len(texts))], pa.bool_()))
+
+    rows = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)

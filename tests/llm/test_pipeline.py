@@ -59,6 +59,34 @@ def test_run_equals_the_stages_and_reruns_agree(spark, corpus):
     assert one and one == two
 
 
+CLASHING = ["rejected", "lang_pred", "score", "kept", "component_id", "shard", "h", "sid", "size", "taken", "copies", "edge", "c0", "n_tokens", "__bits", "tree", "code"]
+
+
+@pytest.mark.parametrize("kept", ["all", "none"])
+def test_clashing_columns_nulls_repeats_and_empty_tables(spark, corpus, tmp_path, kept):
+    folder, rows = corpus
+    docs = queries.table(spark, folder, "documents")
+    docs = docs.union(docs.filter("doc_id < 3")).union(docs.filter("doc_id = 5").selectExpr("CAST(NULL AS BIGINT) doc_id", "text", "lang", "source", "n_chars"))
+    docs = docs.selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in CLASHING)).limit(0 if kept == "none" else 10**9)
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, folder).cache()
+        if name != "token_files":
+            assert docs.schema.simpleString() == before.schema.simpleString(), name
+            assert docs.exceptAll(before.dropDuplicates()).dropDuplicates().join(before.select("doc_id", "rejected"), ["doc_id", "rejected"], "left_anti").filter("doc_id IS NOT NULL").isEmpty()
+        if name == "near_dedup" and kept == "all":
+            got = [r.doc_id for r in docs.select("doc_id").collect()]
+            assert None in got or 5 in got
+            assert sum(d in (5, None) for d in got) == 1 and all(got.count(d) == 1 for d in (0, 1))
+            assert sum(d == 2 or d is not None and 200 <= d < 230 for d in got) == 1
+    assert (docs.count() == 0) == (kept == "none")
+
+
+def test_no_benchmark_at_all(spark, corpus, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = queries.table(spark, corpus[0], "documents")
+    assert corpus_pipeline.no_benchmark(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mixture", "token_files"]
     assert corpus_pipeline.ORACLE_SQL is None and language_id.UND == "und"

@@ -1,4 +1,6 @@
+import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -249,6 +251,141 @@ def test_copies_in_another_case_are_found(spark, tmp_path):
     assert got == [(k, 1 if k < 3 else 2, "copy") for k in range(5)]
 
 
+PEOPLE = "Anna Bob Carl Dora Émile Frank Grete Hugo Ida Jörg Kofi Lena Mia Nils Olga Paul".split()
+THINGS = "apples lemons ribbons candles marbles stamps pencils kites".split()
+UNIT_WORDS = "km miles kg hours minutes litres".split()
+
+
+def question(rng, k, people, numbers, unit):
+    """The k-th template of three with its slots; names open sentences and stand inside them."""
+    a, b = people
+    x, y, z = numbers
+    t = THINGS[k % 8]
+    return [
+        f"{a} keeps {x} {t} in a blue box while {b} carries {y} {unit} of rope along the river. After lunch {a} finds {z} more {t} under the old bridge. How many {t} does {a} own now and how much rope is left for {b}?",
+        f"On the way home {b} counts {x} {t} near the market and {a} counts {y} of them again. If the walk takes {z} {unit} and {a} stops twice, which of the two friends has seen more {t} at the end of the day?",
+        f"{a} and {b} share {x} {t} between {y} baskets before the train leaves. Every basket weighs {z} {unit}, yet {b} insists that two more {t} fit into each. What is the largest number of {t} that {a} can pack?",
+    ][k % 3]
+
+
+def slots(rng):
+    return rng.sample(PEOPLE, 2), [str(x) for x in rng.sample(range(2, 900), 3)], rng.choice(UNIT_WORDS)
+
+
+def test_reparameterised_questions_recall_and_false_hits():
+    rng = random.Random(5)
+    items = [(k, question(rng, k, *slots(rng)).encode()) for k in range(24)]
+    table = decontaminate.Items(items, 5, case_blind=True)
+    found = wrong = 0
+    for n in range(600):
+        k = n % 24
+        text = question(rng, k, *slots(rng))
+        text = "Some other words stand before. " + (text.replace("?", " …").replace(" a blue", " a\u00a0blue") if n % 3 == 0 else text) + " And behind."
+        held = {x[0] for x in table.find(text.encode(), 80)}
+        same = {i for i in range(24) if i % 24 == k or (i % 3 == k % 3 and i % 8 == k % 8)}
+        found += bool(held & same)
+        wrong += bool(held - same)
+    assert found >= 0.95 * 600 and wrong == 0
+    clean = wrong = 0
+    for n in range(300):  # one number for all, or one name: no re-parameterisation of different values
+        people, numbers, unit = slots(rng)
+        text = question(rng, n, [people[0]] * 2, [numbers[0]] * 3, unit)
+        clean += not table.find(text.encode(), 80)
+    assert clean >= 0.9 * 300
+
+
+def brute_matches(docs, items, window=5, percent=80):
+    """By regular expressions over plain ASCII texts, first places of windows only."""
+
+    def tokens(text):
+        out, before = [], None
+        for m in re.finditer(r"[0-9]+|[A-Za-z]+", text):
+            w = m[0]
+            gap = text[before.end() : m.start()] if before else None
+            number, after_number = w[0].isdigit(), before is not None and before[0][0].isdigit()
+            kind = w.lower()
+            if number:
+                if after_number and len(gap) == 1 and gap not in " \t\n":
+                    out[-1] = ("#", out[-1][1] + w)
+                    before = m
+                    continue
+                kind = "#"
+            elif after_number and len(gap) <= 1 and w.lower() in decontaminate.UNITS:
+                kind = "%"
+            elif w[0].isupper() and len(w) > 1 and not w[1].isupper():
+                if out and out[-1][0] == "@" and gap in (" ", "\t", "\n"):
+                    out[-1] = ("@", out[-1][1] + " " + w.lower())
+                    before = m
+                    continue
+                kind = "@"
+            out.append((kind, w.lower() if kind in "#%@" else None))
+            before = m
+        return out
+
+    def windows(t):
+        first = {}
+        for k in range(len(t) - window + 1):
+            first.setdefault(tuple(x[0] for x in t[k : k + window]), k)
+        return first
+
+    out = set()
+    for d, text in docs:
+        t = tokens(text or "")
+        mine = windows(t)
+        for i, item in items:
+            u = tokens(item or "")
+            theirs = windows(u)
+            both = theirs.keys() & mine.keys()
+            if not theirs or 100 * len(both) < percent * len(theirs):
+                continue
+            pairs = {}
+            for w in sorted(both):
+                for k in range(window):
+                    if t[mine[w] + k][1] and u[theirs[w] + k][1]:
+                        pairs.setdefault(mine[w] + k, (u[theirs[w] + k][1], t[mine[w] + k][1]))
+            pairs = list(pairs.values())
+            agree = min((sum(max(sum(p[1 - s] == q for p in pairs if p[s] == v) for q in {p[1 - s] for p in pairs}) for v in {p[s] for p in pairs}) for s in (0, 1)), default=0)
+            if not pairs or 100 * agree >= percent * len(pairs):
+                out.add((d, i))
+    return out
+
+
+def test_the_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    items = [(k, question(rng, k, *slots(rng)).replace("É", "E").replace("ö", "o")) for k in range(12)] + [(50, "short one"), (51, None), (None, "there stood exactly 14 grey stones around the well of Marta")]
+    docs = []
+    for k in range(90):
+        filler = " ".join(rng.choice("alpha beta gamma delta rho sigma tau".split()) for _ in range(rng.randrange(30)))
+        body = [question(rng, rng.randrange(24), *slots(rng)).replace("É", "E").replace("ö", "o"), items[k % 12][1], "", items[14][1], items[k % 12][1][: 40 + k]][k % 5]
+        docs.append((k, f"{filler} {body}. {filler}"))
+    docs += [(100, None), (101, ""), (0, docs[0][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.item_id) for r in queries.op2(spark, str(tmp_path)).collect()]
+    want = brute_matches(docs, items)
+    assert set(got) == want and len(want) > 40 and any(i is None for _, i in want)
+    kept = decontaminate.clean(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), case_blind=True)
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+@pytest.mark.parametrize("change", [
+    lambda t: t.replace('"', "\u201c").replace("-", "\u2013").replace(" ", "\u00a0", 3),
+    lambda t: t.replace("Émile", "Óscar"),
+    lambda t: t.replace("Nadia", "Ruth"),
+    lambda t: unicodedata.normalize("NFD", t),
+])
+def test_marks_accents_and_names_at_the_start(change):
+    item = 'Nadia reads "the long way" to Émile for 12 minutes - then Nadia walks 4 km and says "well done" to the other children'
+    assert [x[0] for x in decontaminate.Items([(1, item.encode())], 5).find(change(item).encode(), 80)] == [1]
+
+
+def test_one_number_for_all_is_not_consistent():
+    item = "we saw 3 cars and 4 bikes near 5 houses by 6 lakes with 7 dogs in 8 towns"
+    table = decontaminate.Items([(1, item.encode())], 5)
+    assert table.find(re.sub("[0-9]", "9", item).encode(), 80) == []
+    assert len(table.find(re.sub("[0-9]", lambda m: str(9 * int(m[0])), item).encode(), 80)) == 1
+
+
 # Rollup
 
 

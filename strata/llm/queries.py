@@ -51,11 +51,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after the load batch and its replay, which changes nothing."""
-    rollup = token_rollup.Rollup(spark, Scratch(spark, "rollup").base)
-    load = token_rollup.inserts(token_rollup.count_tokens(table(spark, sf_dir, "documents"), vocabulary(), "word_bpe_49k"))
-    for _ in range(2):
-        rollup.commit("load-documents", load)
+    """Totals of documents with text, after four batches, each sent twice, and a compaction between them.
+
+    The load counts words, which is cheap; a revision puts the tokenizer's counts in their
+    place; documents of the load that hold no token are deleted; a last batch is empty.
+    """
+    docs, version = table(spark, sf_dir, "documents"), "word_bpe_49k"
+    scratch = Scratch(spark, "rollup")
+    counts = token_rollup.count_tokens(docs, vocabulary(), version).withColumn("old_tokens", F.col("n_words"))
+    counts = scratch.save(counts.groupBy(*token_rollup.GROUP, "n_tokens", "old_tokens").agg(F.count(F.lit(1)).alias("docs")), "counts")
+    rollup = token_rollup.Rollup(spark, f"{scratch.base}/rollup")
+    load = counts.drop("n_tokens").withColumnRenamed("old_tokens", "n_tokens")
+    for batch, changes in (
+        ("load", token_rollup.inserts(load)),
+        ("tokens", token_rollup.revisions(counts)),
+        ("without-text", token_rollup.deletes(counts.filter("n_tokens = 0"))),
+        ("nothing", token_rollup.inserts(load.limit(0))),
+    ):
+        rollup.commit(batch, changes)
+        if batch == "tokens":
+            rollup.compact()
+        rollup.commit(batch, changes)
     return rollup.totals()
 
 
@@ -112,8 +128,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT g.doc_id, CAST(len(g.x) AS BIGINT) AS n_shingles, m.c AS component_id, g.doc_id = m.c AS kept FROM g JOIN m ON g.doc_id = m.a
     """,
     "op6_url_filter": r"""
-        WITH p AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-        q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        WITH p AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+        q AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
         r AS (SELECT *, CASE
                 WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
@@ -121,13 +137,16 @@ ORACLE_SQL: dict[str, str] = {
                 WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
                 WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
                 WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM q),
-        w AS (SELECT *, list_distinct(string_split_regex(lower(host || path), '[^a-z0-9]+')) AS words FROM r),
-        s AS (SELECT *, len(list_filter(words, lambda x: x IN ({strict}))) AS strict_n, len(list_filter(words, lambda x: x IN ({soft}))) AS soft_n FROM w)
-        SELECT page_id, host, path, rule,
+        v AS (SELECT * FROM (VALUES {vocabulary}) AS v(term, weight)),
+        w AS (SELECT page_id, unnest(list_distinct(string_split_regex(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+'))) AS term FROM pages),
+        n AS (SELECT page_id, count(*) FILTER (weight >= 100) AS strict_hits, count(*) FILTER (weight < 100) AS soft_hits,
+                     coalesce(sum(weight) FILTER (weight < 100), 0) AS soft_weight FROM w JOIN v USING (term) GROUP BY page_id)
+        SELECT r.page_id, host, path, rule,
                CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-                    WHEN strict_n > 0 OR soft_n >= 2 THEN 'block' ELSE 'allow' END AS verdict,
-               CAST(strict_n AS INTEGER) AS strict_hits, CAST(soft_n AS INTEGER) AS soft_hits FROM s
-    """.format(strict=", ".join(f"'{x}'" for x in url_filter.STRICT), soft=", ".join(f"'{x}'" for x in url_filter.SOFT)),
+                    WHEN strict_hits > 0 OR (soft_hits >= 2 AND soft_weight >= 100) THEN 'block' ELSE 'allow' END AS verdict,
+               coalesce(strict_hits, 0)::BIGINT AS strict_hits, coalesce(soft_hits, 0)::BIGINT AS soft_hits, coalesce(soft_weight, 0)::BIGINT AS soft_weight
+        FROM r LEFT JOIN n ON r.page_id = n.page_id
+    """.format(vocabulary=", ".join(f"('{t}', {w})" for t, w in url_filter.VOCABULARY.items())),
     "op8_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),

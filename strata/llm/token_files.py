@@ -1,7 +1,7 @@
 """Token ids in flat unsigned integer files with 64-bit document offsets.
 
-Layout of a shard: ``part-NNNNN.bin`` holds ids back to back (two bytes each where every
-id of the vocabulary fits, else four; little-endian), ``part-NNNNN.idx`` holds, as 64-bit
+Layout of a shard: ``part-NNNNNNNN.bin`` holds ids back to back (two bytes each where every
+id of the vocabulary fits, else four; little-endian), ``part-NNNNNNNN.idx`` holds, as 64-bit
 integers, the doc ids and then n + 1 offsets, counted in ids from the shard's start. A
 manifest table names each shard with its size; the base of a shard is the prefix sum of
 the sizes before it, so global positions need no second pass over the documents.
@@ -10,13 +10,14 @@ Each task writes under a name of its own and renames when done; a task that runs
 after an executor is lost replaces the file by an equal one.
 
 Defined cases: a null or empty text is one document of the end id alone; rows that repeat
-a doc_id each get their ids, ordered by text; a null doc_id stands first (as the smallest
+a doc_id each get their ids, ordered by a hash of the text; a null doc_id stands first (as the smallest
 64-bit integer in the index, null when read back); an empty table gives no shard and no
 row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -30,6 +31,7 @@ from strata.llm.encode import load
 from strata.llm.scratch import Scratch
 
 NO_ID = -(1 << 63)
+SHARD_BYTES = 64 << 20  # of text
 MANIFEST = "shard string, dtype string, first_doc long, n_docs long, n_tokens long"
 INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
 
@@ -37,7 +39,8 @@ INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
 def _fs(uri: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def _writer(out_dir: str, vocabulary: str, end_id: int):
@@ -45,7 +48,7 @@ def _writer(out_dir: str, vocabulary: str, end_id: int):
         enc = load(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
         fs, base = _fs(out_dir)
-        name, own = f"part-{TaskContext.get().partitionId():05d}", f"{base}/tmp-{uuid.uuid4().hex}"
+        name, own = f"part-{TaskContext.get().partitionId():08d}", f"{base}/tmp-{uuid.uuid4().hex}"
         ids, offsets, sink = [], [0], None
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1)
@@ -76,9 +79,14 @@ def write_tokens(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = 2
     """
     fs, base = _fs(out_dir)
     fs.create_dir(base, recursive=True)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    n = [shards] if shards else []
-    return rows.repartitionByRange(*n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writer(out_dir, vocabulary, end_id), MANIFEST)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(math.ceil(size / SHARD_BYTES), rows.sparkSession.sparkContext.defaultParallelism)
+    # Rows that repeat a doc_id, or have none, may be many: their texts' hashes part them among shards.
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+    return rows.mapInArrow(_writer(out_dir, vocabulary, end_id), MANIFEST)
 
 
 def _reader(out_dir: str):
@@ -116,8 +124,8 @@ def _reader(out_dir: str):
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:
-    """Add `base`: ids in all shards before this one. One row per shard, so one sort suffices."""
-    before = Window.orderBy("first_doc", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    """Add `base`: ids in all shards before this one. One row per shard, named in order, so one sort suffices."""
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import unicodedata
@@ -81,6 +82,11 @@ def test_token_files_round_trip(spark):
         assert r.start == at
         at += r.n_tokens
     assert token_files.round_trip(docs.limit(0), queries.vocabulary()).count() == 0
+    clash = docs.selectExpr("*", "doc_id AS tie", "text AS shard", "1 AS n_tokens", "2 AS start")
+    assert sorted(r.start for r in token_files.round_trip(clash, queries.vocabulary()).collect()) == [r.start for r in rows]
+    many = spark.range(300).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('word', id) AS text")
+    back = token_files.round_trip(many, queries.vocabulary()).collect()
+    assert len(back) == 300 and len({r.shard for r in back}) > 1 and all(r.doc_id is None for r in back)
     null_id = docs.limit(1).selectExpr("cast(null AS long) AS doc_id", "text")
     assert token_files.round_trip(null_id, queries.vocabulary()).first().doc_id is None
 
@@ -91,7 +97,8 @@ def test_token_files_round_trip(spark):
 def test_urls(spark):
     cases = [
         (None, "", "", None, "allow"),
-        ("no scheme/casino", "", "", None, "allow"),
+        ("no scheme/casino", "", "", None, "block"),
+        ("no scheme", "", "", None, "allow"),
         ("http://X.ORG/a?b#c", "x.org", "/a", "org/", "allow"),
         ("http://x.org", "x.org", "", None, "allow"),
         ("https://a.example.org/es/1", "a.example.org", "/es/1", "example.org/es/", "block"),
@@ -103,7 +110,13 @@ def test_urls(spark):
         ("http://casinos.net/", "casinos.net", "/", None, "allow"),
         ("http://cheap.net/cheap", "cheap.net", "/cheap", None, "allow"),
         ("http://cheap.net/free-offer", "cheap.net", "/free-offer", None, "block"),
-        ("http://n.net?casino://q", "n.net", "", None, "allow"),
+        ("http://n.net?casino://q", "n.net", "", None, "block"),
+        ("http://n.net/a?q=PORN&x", "n.net", "/a", None, "block"),
+        ("http://n.net/a#xxx", "n.net", "/a", None, "block"),
+        ("http://click.net/free", "click.net", "/free", None, "allow"),  # two soft terms that weigh too little
+        ("http://bets.net/poker", "bets.net", "/poker", None, "block"),
+        ("http://poker.net/poker?poker", "poker.net", "/poker", None, "allow"),  # one soft term, however often
+        ("http://éxxx.net/xxxé", "éxxx.net", "/xxxé", None, "allow"),
         ("ftp://É.Net/ü", "É.net", "/ü", None, "allow"),
     ]
     df = spark.createDataFrame([(k, c[0], "x") for k, c in enumerate(cases)], "page_id long, url string, host string")
@@ -112,6 +125,14 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_a_vocabulary_in_a_table(spark):
+    df = spark.createDataFrame([(1, "http://a.net/Foo-bar"), (2, "http://a.net/foo"), (3, "http://a.net/baz"), (1, "http://a.net/Foo-bar")], "page_id long, url string")
+    words = spark.createDataFrame([("FOO", 50), ("bar", 49), ("bar", 51), ("baz", 100), (None, 100), ("", 100), ("a", None)], "term string, weight int")
+    got = sorted((r.page_id, r.verdict, r.strict_hits, r.soft_hits, r.soft_weight) for r in url_filter.judge(df, vocabulary=words).collect())
+    assert got == [(1, "block", 0, 2, 101), (1, "block", 0, 2, 101), (2, "allow", 0, 1, 50), (3, "block", 1, 0, 0)]
+    assert [r.verdict for r in url_filter.judge(df, vocabulary={}).collect()] == ["allow"] * 4
+
+
 def test_automaton_counts_whole_terms():
     auto = url_filter.automaton({"bad": 1.0}, {"bet": 0.4, "bets": 0.4})
     assert url_filter.hits(auto, "bets.bet-bet/abet/bad") == {"bets": (False, 0.4, 1), "bet": (False, 0.4, 2), "bad": (True, 1.0, 1)}
@@ -210,6 +231,65 @@ def test_templates():
     assert tokens("...") == []
 
 
+def test_the_language_query_against_brute_force(spark, tmp_path):
+    """The same centroids over dictionaries of n-grams, text by text, without hashing to pieces or batches."""
+    rng = random.Random(6)
+    stems = {"en": "the with which thing would shall there whether".split(), "de": "und nicht schön über größer zwischen mädchen für".split(), "fr": "élève où garçon très façon toujours déjà le".split()}
+    rows = [(k, " ".join(rng.choice(stems[lang]) + rng.choice("aeiou") for _ in range(rng.randrange(3, 60))), lang) for k in range(240) for lang in [list(stems)[k % 3]]]
+    rows += [(300, None, "en"), (301, "", "de"), (302, "123 !?", "fr"), (303, "日本語 テスト 日本語", None), (2, rows[2][1], "fr")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, lang_pred string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.op9(spark, str(tmp_path)).collect(), key=str)
+    model = language_id.fit(docs, ~language_id.held_out())
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    by_id = {r.doc_id: r for r in got}
+    for doc_id, text, _ in rows:
+        counts = language_id.ngram_counts(text or "", model.dims)
+        if counts is None:
+            assert by_id[doc_id].lang_pred == "und" and by_id[doc_id].score == 0
+            continue
+        v = {int(b): math.sqrt(counts[b]) * float(model.idf[b]) for b in np.flatnonzero(counts)}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[b]) for b, x in v.items()) / length for c in model.centroids]
+        best = max(range(len(cos)), key=lambda j: cos[j])
+        if cos[best] >= model.radius[best] and text:
+            assert by_id[doc_id].lang_pred == model.langs[best] and by_id[doc_id].score == pytest.approx(min(1.0, max(0.0, cos[best])), abs=1e-4)
+    held = [(r.lang_pred, dict((k, l) for k, _, l in rows if k != 2)[r.doc_id]) for r in got if r.held_out and r.doc_id < 240 and r.doc_id != 2]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_the_quality_query_against_brute_force(spark, tmp_path):
+    """Scores from sets of trigrams and words, feature by feature, with the fitted weights."""
+    rng = random.Random(12)
+    vocab = {0: "zzq xkcd qwrt spamm".split(), 1: "filthy rude awful mean".split(), 2: "careful lovely useful honest".split()}
+    rows = [(k, " ".join(rng.choice(vocab[k % 3] + ["and", "the", "of"]) for _ in range(rng.randrange(4, 40)))) for k in range(300)] + [(900, None), (901, ""), (902, "ab"), (0, "the")]
+    marks = [(k, int(k % 3 > 0), int(k % 3 == 1)) for k in range(300) if k % 5]
+    docs = spark.createDataFrame([(*r, 1.0, 0) for r in rows], "doc_id long, text string, tail_prob double, grade int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(*m, "x") for m in marks], "doc_id long, quality int, toxic int, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op1(spark, str(tmp_path)).collect()
+    model = quality.fit(docs, quality.grades_of(labels))
+    assert len(got) == len(rows) and model.used.any()
+
+    def brute(text):
+        raw = (text or "").encode()
+        h = {int(quality.buckets(raw[k : k + 3].decode(), 20)[0]) for k in range(len(raw) - 2)}
+        clean = re.sub(r'[.,;:!?"()]', " ", text or "").split()
+        words = {quality.TRIGRAMS + int(word_hashes(w.encode())[0] >> np.uint64(44)) for w in clean}
+        h, words = ({b for b in x if model.used[b]} for x in (h, words))
+        score = sum(float(model.weights[b]) for b in h) / math.sqrt(max(1, len(h))) + quality.WORD_VALUE * sum(float(model.weights[b]) for b in words)
+        tails = [1 / (1 + math.exp(min(50, max(-50, t - score)))) for t in model.thresholds]
+        return round(sum(tails), 5), round(tails[1], 5)
+
+    assert sorted((r.doc_id, round(r.expected_grade, 5), round(r.tail_prob, 5)) for r in got) == sorted((d, *brute(t)) for d, t in rows)
+    held = [(r.doc_id, r.expected_grade) for r in got if r.doc_id < 300 and r.doc_id % 5 == 0 and r.doc_id]
+    assert np.mean([abs(g - d % 3) < 0.5 for d, g in held]) >= 0.95
+    assert all(r.kept == (r.tail_prob >= 0.4) for r in got)
+
+
 def test_contaminated_documents(spark):
     other = ITEM.replace("Lyon", "Nantes").replace("9 hours", "11 hours").replace("120 km", "85 miles").replace("Marie", "Paul").replace("3 heavy", "6 heavy")
     mixed = "we saw 3 cars and 3 bikes near 3 houses by 3 lakes with 3 dogs in 3 towns"
@@ -405,6 +485,46 @@ def test_rollup(spark):
         rollup.commit("../x", rows)
 
 
+def test_compaction_keeps_totals_and_ids(spark):
+    folder = Scratch(spark, "compact").base
+    rollup = token_rollup.Rollup(spark, folder)
+    assert rollup.compact() and rollup.totals().count() == 0
+    rows = spark.createDataFrame([("a", "en", "v1", 5), ("a", "en", "v1", 5), ("b", None, "v1", 2)], "source string, lang string, tokenizer string, n_tokens long")
+
+    def totals():
+        return sorted((r.source, r.docs, r.tokens) for r in rollup.totals().collect())
+
+    for n in range(3):
+        assert rollup.commit(f"b{n}", token_rollup.inserts(rows))
+    before = totals()
+    assert rollup.compact() and totals() == before == [("a", 6, 30), ("b", 3, 6)]
+    assert rollup.published() == ["b0", "b1", "b2"] and rollup._names("batches") == []
+    assert not rollup.commit("b1", token_rollup.inserts(rows)) and totals() == before
+    # A writer that had looked before the compaction publishes an id the base holds: it counts once.
+    token_rollup.inserts(rows).write.parquet(f"{folder}/batches/b2")
+    assert totals() == before
+    assert rollup.commit("d", token_rollup.deletes(rows.filter("source = 'b'"))) and rollup.compact()
+    assert totals() == [("a", 6, 30), ("b", 2, 4)] and rollup._names("batches") == []
+
+
+def test_the_rollup_query_against_brute_force(spark, tmp_path):
+    rng, enc = random.Random(3), load(queries.vocabulary())
+    rows = [(k, " ".join(rng.choice(["word", "Straße", "x1", "é"]) for _ in range(rng.randrange(9))), rng.choice(["a", "b", None]), rng.choice(["en", None])) for k in range(80)]
+    rows += [(k, t, "c", "en") for k, t in enumerate(ODD)] + [rows[0]]
+    docs = spark.createDataFrame([(*r, 9, "v") for r in rows], "doc_id long, text string, source string, lang string, n_tokens long, tokenizer string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for _, text, source, lang in rows:
+        n = len(enc.tok.encode(text or "", add_special_tokens=False).ids)
+        if n:
+            d, t = want.get((source, lang), (0, 0))
+            want[source, lang] = (d + 1, t + n)
+    got = queries.op7(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang): (r.docs, r.tokens) for r in got} == want and len(got) == len(want)
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op7(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_token_counts_against_the_library(spark):
     docs = docs_of(spark, ODD)
     enc = load(queries.vocabulary())

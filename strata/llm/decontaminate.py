@@ -51,6 +51,10 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(9, 14)]] = True
 
 
+_SIGN = np.ones(256, bool)
+_SIGN[[0xAA, 0xB5, 0xBA]] = False
+
+
 def _capitals() -> np.ndarray:
     """Whether a capital starts with these two bytes, by 256 * first + second."""
     out = np.zeros(1 << 16, bool)
@@ -69,10 +73,10 @@ def _kinds(data: np.ndarray) -> np.ndarray:
     """0 for signs and blanks, 1 for digits, 2 for letters, byte by byte; signs beyond ASCII are told from letters by their block."""
     kind = _KIND[data]
     two = np.flatnonzero(data[:-1] == 0xC2)  # U+0080 to U+00BF: signs but for three letters
-    two = two[~np.isin(data[two + 1], (0xAA, 0xB5, 0xBA))]
+    two = two[_SIGN[data[two + 1]]]
     kind[two] = kind[two + 1] = 0
     lead = np.flatnonzero((data[:-2] == 0xE2) | (data[:-2] == 0xE3))
-    sign = ((data[lead] == 0xE2) & np.isin(data[lead + 1], (0x80, 0x81))) | ((data[lead] == 0xE3) & (data[lead + 1] == 0x80))
+    sign = (data[lead + 1] == 0x80) | ((data[lead] == 0xE2) & (data[lead + 1] == 0x81))
     lead = lead[sign]  # U+2000 to U+207F, U+3000 to U+303F: quotes, dashes, spaces
     kind[lead] = kind[lead + 1] = kind[lead + 2] = 0
     return kind
@@ -81,6 +85,9 @@ def _kinds(data: np.ndarray) -> np.ndarray:
 NUM, UNIT, NAME = (np.uint64(k) for k in (0xA11CE5, 0xB0B0B0, 0xCAFE01))
 
 
+SLICE = 1000  # rows that are copied at a time
+
+
 def _unit_hashes() -> np.ndarray:
     data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], (data != 32).view(np.int8), [0]))))
@@ -105,36 +112,55 @@ def folded(text) -> bytes:
     return raw if raw.isascii() else raw.decode("utf-8", "surrogatepass").casefold().encode("utf-8", "surrogatepass")
 
 
+class Parsed:
+    """The runs of letters and digits of a text, from which its template follows with or without NAME."""
+
+    def __init__(self, text):
+        data = np.frombuffer(text, np.uint8)
+        kind = _KIND[data] if bytes(text).isascii() else _kinds(data)
+        edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        ends = np.append(edge[1:], len(data))
+        real = kind[edge] > 0
+        self.data, self.starts, self.ends = data, edge[real], ends[real]
+        starts, ends = self.starts, self.ends
+        self.hashes = h = hash_runs(data, starts, ends)
+        if not len(starts):
+            return
+        self.number = number = kind[starts] == 1
+        gap = np.concatenate(([1 << 30], starts[1:] - ends[:-1]))
+        self.blank = _BLANK[data[np.maximum(starts - 1, 0)]] & (gap == 1)
+        before_number = np.concatenate(([False], number[:-1]))
+        self.joined = number & before_number & (gap == 1) & ~self.blank
+        self.unit = np.zeros(len(starts), bool)
+        maybe = np.flatnonzero(~number & before_number & (gap <= 1))
+        self.unit[maybe] = _UNITS[np.minimum(np.searchsorted(_UNITS, h[maybe]), len(_UNITS) - 1)] == h[maybe]
+
+    def _capital(self, at: np.ndarray) -> np.ndarray:
+        last = len(self.data) - 1
+        return _CAPITAL[(self.data[np.minimum(at, last)].astype(np.int32) << 8) + self.data[np.minimum(at + 1, last)]]
+
+    def template(self, names: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(template token hashes, slot values; 0 where no slot); NAME only with `names`."""
+        h = self.hashes
+        if not len(h):
+            return h, h
+        slot, joined = self.number | self.unit, self.joined
+        token = np.where(self.number, NUM, np.where(self.unit, UNIT, h))
+        if names:
+            at = np.flatnonzero(self._capital(self.starts) & ~slot)
+            start, end = self.starts[at], self.ends[at]
+            second = start + 1 + (self.data[start] >= 128)
+            name = np.zeros(len(h), bool)
+            name[at[(end > second) & ~(self._capital(second) & (second < end))]] = True
+            token[name] = NAME
+            slot, joined = slot | name, joined | (name & np.concatenate(([False], name[:-1])) & self.blank)
+        lead = np.flatnonzero(~joined)
+        return token[lead], np.add.reduceat(np.where(slot, h | np.uint64(1), np.uint64(0)), lead)
+
+
 def template(text, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(template token hashes, slot values; 0 where no slot) of UTF-8 bytes; NAME only with `names`."""
-    data = np.frombuffer(text, np.uint8)
-    kind = _kinds(data)
-    edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
-    ends = np.append(edge[1:], len(data))
-    real = kind[edge] > 0
-    starts, ends = edge[real], ends[real]
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = hash_runs(data, starts, ends)
-    number = kind[starts] == 1
-    gap = np.concatenate(([1 << 30], starts[1:] - ends[:-1]))
-    between = data[np.maximum(starts - 1, 0)]
-    before_number = np.concatenate(([False], number[:-1]))
-    joined = number & before_number & (gap == 1) & ~_BLANK[between]
-    at = np.minimum(np.searchsorted(_UNITS, h), len(_UNITS) - 1)
-    unit = ~number & before_number & (gap <= 1) & (_UNITS[at] == h)
-    name = np.zeros(len(starts), bool)
-    if names:
-        last = len(data) - 1
-        pair = lambda k: _CAPITAL[(data[np.minimum(k, last)].astype(np.int32) << 8) + data[np.minimum(k + 1, last)]]
-        second = starts + np.where(data[starts] < 128, 1, 2)
-        name = pair(starts) & ~number & ~unit & (ends > second) & ~(pair(second) & (second < ends))
-        joined |= name & np.concatenate(([False], name[:-1])) & (gap == 1) & _BLANK[between]
-    slot = number | unit | name
-    token = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, h)))
-    lead = np.flatnonzero(~joined)
-    value = np.add.reduceat(np.where(slot, h | np.uint64(1), np.uint64(0)), lead)
-    return token[lead], value
+    return Parsed(text).template(names)
 
 
 def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
@@ -180,18 +206,20 @@ class Items:
     def find(self, text, percent: int):
         """(item id, coverage, consistency, same values) of each item that the text holds."""
         text = composed(text)
-        held = self._held(text, percent)
+        parsed = Parsed(text)
+        held = self._held(parsed, percent)
         if self.blind is not None:
-            for k, x in self.blind._held(folded(text), percent).items():
+            blind = parsed if text.isascii() else Parsed(folded(text))  # hashes do not tell A-Z from a-z
+            for k, x in self.blind._held(blind, percent).items():
                 if k not in held or (x[3] == 1.0 and held[k][3] < 1.0):
                     held[k] = (self.given[k], *x[1:])
         return [held[k] for k in sorted(held)]
 
-    def _held(self, text, percent: int) -> dict[int, tuple]:
+    def _held(self, parsed: Parsed, percent: int) -> dict[int, tuple]:
         """find(), by the item's place in the list given."""
         if not len(self.all):
             return {}
-        tokens, value = template(text, self.names)
+        tokens, value = parsed.template(self.names)
         h = window_hashes(tokens, self.window)
         at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.intp)])
         if not len(at):
@@ -303,9 +331,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 5, percent: int =
 
         def free(batches, shared=shared):
             table = shared.value
-            for batch in batches:
-                texts = (utf8(t) for t in batch.column(text))
-                yield batch.filter(pa.array([not (t and table.find(t, percent)) for t in texts], pa.bool_()))
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(at, SLICE)
+                    texts = (utf8(t) for t in batch.column(text))
+                    yield batch.filter(pa.array([not (t and table.find(t, percent)) for t in texts], pa.bool_()))
 
         rows = rows.mapInArrow(free, rows.schema)
     return rows.toDF(*docs.columns)

@@ -188,9 +188,10 @@ def recognised(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
-            texts = batch.column(at)
-            yield batch.filter(pa.array([not m.predict([texts[k].as_py()])[0][2] for k in range(len(texts))], pa.bool_()))
+        for whole in batches:
+            for batch in (whole.slice(first, 1000) for first in range(0, whole.num_rows, 1000)):
+                texts = batch.column(at)
+                yield batch.filter(pa.array([not m.predict([texts[k].as_py()])[0][2] for k in range(len(texts))], pa.bool_()))
 
     rows = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
     return rows.mapInArrow(run, rows.schema).toDF(*df.columns)

@@ -42,7 +42,8 @@ from strata.llm.scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 FILLS = 4
 SLICES = 1024
-SHARD_WORDS = 8_000_000
+SHARD_WORDS = 2_000_000  # at least
+MOST_SHARDS = 100_000
 
 
 def _uniform(*of: str) -> str:
@@ -130,10 +131,10 @@ def _permuted(rows: DataFrame, seed: int, *of: str) -> DataFrame:
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 100_000, shards: int | None = None, seed: int = 20240229) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards (one entry for each copy): a row for each row of docs.
 
-    Without a number of shards there is one for each SHARD_WORDS words.
+    Without a number of shards there is one for each SHARD_WORDS words, up to MOST_SHARDS larger ones.
     """
     scratch = Scratch(docs.sparkSession, "mixture")
-    rows, _, placed, chosen = _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)
+    rows, _, placed, chosen, _ = _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)
     out = _taken(rows, placed, chosen)
     places = F.coalesce(F.transform("taken", lambda p: p.shard), F.array().cast("array<int>"))
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.size(places) * F.col("size")).cast("long").alias("taken"), places.alias("shards"))
@@ -196,12 +197,12 @@ def _plan(scratch: Scratch, docs: DataFrame, weights, most, block_words, shards,
     drawn = scratch.save(drawn.drop("__p", "one"), "drawn")
     if shards is None:
         words = src.agg(F.sum("target")).first()[0] or 0
-        shards = max(1, math.ceil(words / SHARD_WORDS))
+        shards = max(1, math.ceil(words / max(SHARD_WORDS, words / MOST_SHARDS)))
     quotas = scratch.save(_split(drawn.groupBy("sid").agg(F.count(F.lit(1)).alias("q")), shards, seed), "quotas")
     numbers = quotas.select("sid", "shard", F.explode(F.sequence(F.col("hi") - F.col("q") + 1, F.col("hi"))).alias("number"))
     placed = drawn.join(numbers, ["sid", "number"]).select("sid", "block", "edge", F.struct("extra", "pass", "shard").alias("p"))
     placed = scratch.save(placed.groupBy("sid", "block").agg(F.array_sort(F.collect_list("p")).alias("placed"), F.max("edge").alias("edge")), "placed")  # at most `most` + 1 places
-    return rows, key, placed, chosen
+    return rows, key, placed, chosen, shards
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 100_000, shards: int | None = None, seed: int = 20240229, shard_column: str | None = None) -> DataFrame:
@@ -211,9 +212,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     texts move once, to their shards. Rows equal in doc_id, source and text are taken alike.
     """
     scratch = Scratch(docs.sparkSession, "mixture")
-    _, key, placed, chosen = _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)
+    _, key, placed, chosen, shards = _plan(scratch, docs.select("doc_id", "source", "text"), weights, most, block_words, shards, seed)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64("text").alias("th"))
     rows = _taken(_placed(rows.filter("size > 0"), key, seed), placed, chosen).select("doc", "h", F.explode("taken").alias("p"))
     rows = rows.select("doc", F.col("p.shard").alias("shard"), F.xxhash64("h", "p.shard", "p.pass", F.lit(seed + 3)).alias("at"))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "at")
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("at")  # a task for each shard
     return rows.select("doc.*", *([F.col("shard").alias(shard_column)] if shard_column else []))

@@ -31,7 +31,8 @@ from strata.llm.encode import load
 from strata.llm.scratch import Scratch
 
 NO_ID = -(1 << 63)
-SHARD_BYTES = 64 << 20  # of text
+SHARD_BYTES = 16 << 20  # of text, at least
+MOST_SHARDS = 100_000
 MANIFEST = "shard string, dtype string, first_doc long, n_docs long, n_tokens long"
 INDEX = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
 
@@ -82,7 +83,7 @@ def write_tokens(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if shards is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(math.ceil(size / SHARD_BYTES), rows.sparkSession.sparkContext.defaultParallelism)
+        shards = max(math.ceil(size / max(SHARD_BYTES, size / MOST_SHARDS)), rows.sparkSession.sparkContext.defaultParallelism)
     # Rows that repeat a doc_id, or have none, may be many: their texts' hashes part them among shards.
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")

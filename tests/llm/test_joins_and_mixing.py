@@ -278,7 +278,7 @@ def test_shards_hold_their_quotas_and_are_shuffled(spark):
     rows = [(k, "abc"[k % 3], " ".join(["w"] * rng.randrange(1, 60))) for k in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
     scratch = Scratch(spark, "quotas")
-    sized, key, placed, chosen = mixture._plan(scratch, df, (1, 2, 3), 3, 200, 7, 5)
+    sized, key, placed, chosen, _ = mixture._plan(scratch, df, (1, 2, 3), 3, 200, 7, 5)
     drawn, quota = defaultdict(int), defaultdict(int)
     for r in placed.collect():
         for p in r.placed:

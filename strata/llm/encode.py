@@ -32,7 +32,7 @@ def _byte_names() -> dict[int, str]:
 class Encoder:
     """encode(text) -> ids as bytes of `dtype`. The memo is bounded by max_words entries."""
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

@@ -50,17 +50,13 @@ def _run(db: Database, a) -> None:
     elif a.command == "export":
         made = db.export(a.form, a.out)
         text = made if isinstance(made, str) else json.dumps(made) if a.form == "json" else "\n".join(f"-- {t}\n{c}" for t, c in made.items())
-        if a.out and a.form != "sqlite":
-            with open(a.out, "w") as f:
-                f.write(text)
-        else:
-            print(text)
+        print(text)
     elif a.command == "rollback":
         print(f"version {db.rollback_to(a.version)}")
     elif a.command == "vacuum":
         print(json.dumps(db.vacuum()))
     elif a.command == "upgrade":
-        print(f"format {db.upgrade()}")
+        print("format {format}, version {version}".format(**db.upgrade()))
     else:
         print(db.current_version())
 

@@ -20,7 +20,9 @@ from strata.plans.parser import TYPES
 from strata.plans.types import INTEGER, NULL, REAL, Kind, kind_of
 from strata.schema import PRECISION, Column as Declared, Table, check_row, decimal, exact, table as make_table
 from strata.sources.chunks import Chunks, View
-from strata.sources.log import State
+from strata.sources.log import TOP_FORMAT, State
+
+CELLS = 2000  # computed cells of VALUES in one job
 
 
 @dataclass
@@ -59,6 +61,7 @@ class Writer:
                     if c.name in made:
                         raise StrataError("DUPLICATE_COLUMN", f"{name} has two columns {c.name}")
                     made[c.name] = declared(c)
+                needs_format(state, made)
                 new.schema[name] = make_table(name, made)
                 new.chunks[name] = []
             case n.DropTable(name):
@@ -70,7 +73,9 @@ class Writer:
                 t = View(self.chunks, state).table(name)
                 if c.name in t.columns:
                     raise StrataError("DUPLICATE_COLUMN", f"{name} has a column {c.name} already")
-                new.schema[name] = Table({**t.columns, c.name: declared(c)}, t.uniques)
+                made = {c.name: declared(c)}
+                needs_format(state, made)
+                new.schema[name] = Table({**t.columns, **made}, t.uniques)
             case n.CreateIndex(name, column, quiet):
                 t = View(self.chunks, state).table(name)
                 if column not in t.columns:
@@ -119,16 +124,21 @@ class Writer:
             for key in keys:
                 if (v := _key(row, key)) is not None:
                     by_key[key][v] = pk
-        affected, replaced = [], set()
+        affected, replaced = {}, set()
         stored = set(current)
-        for row in rows:
+        ready: dict[int, tuple[dict, dict]] = {}
+        for k, row in enumerate(rows):
+            if target is not None and conflict.updates is not None and k not in ready:
+                ready |= self.merge_ahead(state, s, t, target, current, by_key[target], rows, k)
             hit = next(((key, by_key[key][v]) for key in keys if (v := _key(row, key)) is not None and v in by_key[key]), None)
             at_target = target is not None and (v := _key(row, target)) is not None and v in by_key[target]
             if conflict is not None and at_target:
                 if conflict.updates is None:
                     continue
                 pk = by_key[target][_key(row, target)]
-                new = self.merged(state, s, t, current[pk], row)
+                old, new = ready.get(k, (None, None))
+                if old is not current[pk]:  # changed by a row of this statement since
+                    new = self.merged(state, s, t, [(current[pk], row)])[0]
                 others = [key for key in keys if (v := _key(new, key)) is not None and by_key[key].get(v, pk) != pk]
                 if others:
                     raise _conflict(t, s.table, others[0], new)
@@ -147,14 +157,15 @@ class Writer:
             for key in keys:
                 if (v := _key(row, key)) is not None:
                     by_key[key][v] = row[t.key]
-            affected = [a for a in affected if a[t.key] != row[t.key]] + [row]
+            affected.pop(row[t.key], None)
+            affected[row[t.key]] = row
         out = [current[pk] for pk in written]
         if not out:
             return Outcome(state, self.returning(state, s, self.chunks.empty(t)), 0)
         gone, kept = self.without(view, s.table, replaced)
         fresh = self.spark.createDataFrame([tuple(r[c] for c in t.columns) for r in out], t.struct)
         added = self.chunks.stage(s.table, t, kept.unionByName(fresh) if kept is not None else fresh, single=kept is None)
-        shown = self.spark.createDataFrame([tuple(r[c] for c in t.columns) for r in affected], t.struct)
+        shown = self.spark.createDataFrame([tuple(r[c] for c in t.columns) for r in affected.values()], t.struct)
         return Outcome(self.replace(state, s.table, gone, added), self.returning(state, s, shown), len(affected))
 
     def prepare(self, state: State, s: n.Insert) -> list[dict]:
@@ -165,15 +176,20 @@ class Writer:
                 raise StrataError("UNKNOWN_COLUMN", f"{s.table} has no column {c}")
         if len(set(s.columns)) < len(s.columns):
             raise StrataError("DUPLICATE_COLUMN", "a column is given twice")
-        lower, rows = Lower(View(self.chunks, state), Scope()), []
+        lower, rows, computed = Lower(View(self.chunks, state), Scope()), [], []
         for values in s.rows:
             row = {}
             for c, e in zip(s.columns, values):
                 if isinstance(e, n.Lit):
                     row[c] = e.digits if e.digits is not None and t.columns[c].kind == "decimal" else e.value
                 else:
-                    row[c] = self.spark.range(1).select(lower.value(e)[0].alias("v")).first()[0]
+                    computed.append((row, c, lower.value(e)[0]))
             rows.append(row)
+        for at in range(0, len(computed), CELLS):  # all cells of a statement in one job, up to CELLS
+            some = computed[at : at + CELLS]
+            got = self.spark.range(1).select(*[x.alias(f"v{k}") for k, (_, _, x) in enumerate(some)]).first()
+            for (row, c, _), v in zip(some, got):
+                row[c] = v
         for c, x in t.columns.items():
             if x.sequence:
                 open_rows = [r for r in rows if r.get(c) is None]
@@ -203,19 +219,33 @@ class Writer:
         wanted = self.spark.createDataFrame(list(values), schema)
         return [r.asDict() for r in df.join(F.broadcast(wanted), list(key), "left_semi").select(*t.columns).collect()]
 
-    def merged(self, state: State, s: n.Insert, t: Table, old: dict, new: dict) -> dict:
-        """DO UPDATE SET over one stored and one incoming row."""
+    def merge_ahead(self, state: State, s: n.Insert, t: Table, target: tuple, current: dict, stored: dict, rows: list[dict], first: int) -> dict[int, tuple[dict, dict]]:
+        """DO UPDATE of the rows from `first` on, up to the first that repeats a key, in one job: index -> (row it starts from, result)."""
+        pairs, seen = {}, set()
+        for k in range(first, len(rows)):
+            v = _key(rows[k], target)
+            if v in seen and v is not None:
+                break
+            seen.add(v)
+            if v is not None and v in stored:
+                pairs[k] = (current[stored[v]], rows[k])
+        made = self.merged(state, s, t, list(pairs.values())) if pairs else []
+        out = {k: (old, new) for (k, (old, _)), new in zip(pairs.items(), made)}
+        return {k: (None, None) for k in range(first, first + len(seen))} | out
+
+    def merged(self, state: State, s: n.Insert, t: Table, pairs: list[tuple[dict, dict]]) -> list[dict]:
+        """DO UPDATE SET over pairs of a stored and an incoming row, all in one job."""
         columns = {c: kind_of(x.spark_type) for c, x in t.columns.items()}
         scope = _Excluded({s.table: columns, "excluded": columns})
         lower = Lower(View(self.chunks, state), scope)
-        both = {f"{side}.{c}": row[c] for side, row in ((s.table, old), ("excluded", new)) for c in t.columns}
-        struct = T.StructType([T.StructField(f"{side}.{c}", x.spark_type) for side in (s.table, "excluded") for c, x in t.columns.items()])
-        df = self.spark.createDataFrame([tuple(both.values())], struct)
         for c, _ in s.conflict.updates:
             if c not in t.columns:
                 raise StrataError("UNKNOWN_COLUMN", f"{s.table} has no column {c}")
-        made = df.select(*[lower.value(e)[0].alias(c) for c, e in s.conflict.updates]).first().asDict()
-        return check_row(s.table, t, {**old, **{c: _back(v, t.columns[c]) for c, v in made.items()}})
+        struct = T.StructType([T.StructField(f"{side}.{c}", x.spark_type) for side in (s.table, "excluded") for c, x in t.columns.items()])
+        df = self.spark.createDataFrame([(*(old[c] for c in t.columns), *(new[c] for c in t.columns), k) for k, (old, new) in enumerate(pairs)], struct.add("__k", T.IntegerType()))
+        made = df.select("__k", *[lower.value(e)[0].alias(c) for c, e in s.conflict.updates]).collect()  # a row for each row of the statement
+        out = {r["__k"]: {c: r[c] for c, _ in s.conflict.updates} for r in made}
+        return [check_row(s.table, t, {**old, **{c: _back(v, t.columns[c]) for c, v in out[k].items()}}) for k, (old, _) in enumerate(pairs)]
 
     def without(self, view: View, name: str, pks: set) -> tuple[set[str], DataFrame | None]:
         """Files that hold some keys, and the other rows of these files."""
@@ -251,11 +281,12 @@ class Writer:
             hit = lower.test(where, closed=True)
         else:
             hit = F.lit(True)
-        touched = self._paths(df.filter(hit), files) if files else set()
-        return t, lower, df, hit, [c for c in files if c.path in touched], touched
+        counts = {r["__f"]: r["count"] for r in df.filter(hit).groupBy("__f").count().collect()} if files else {}  # one for each touched file
+        touched = {c.path for c in files if any(g.endswith(c.path) for g in counts)}
+        return t, lower, df, hit, [c for c in files if c.path in touched], touched, sum(counts.values())
 
     def update(self, state: State, s: n.Update) -> Outcome:
-        t, lower, df, hit, files, touched = self._matched(state, s.table, s.where)
+        t, lower, df, hit, files, touched, count = self._matched(state, s.table, s.where)
         for c, _ in s.sets:
             if c not in t.columns:
                 raise StrataError("UNKNOWN_COLUMN", f"{s.table} has no column {c}")
@@ -269,9 +300,8 @@ class Writer:
         new = self.replace(state, s.table, touched, added)
         for key in t.keys():
             if any(c in made for c in key):
-                self.check_unique(new, s.table, t, key)
-        shown = changed.filter("__hit").drop("__hit")
-        return Outcome(new, self.returning(state, s, shown), shown.count())
+                self.check_unique(new, s.table, t, key, added)
+        return Outcome(new, self.returning(state, s, changed.filter("__hit").drop("__hit")), count)
 
     def assigned(self, lower: Lower, name: str, c: str, x: Declared, e: n.Expr) -> Column:
         value, kind = lower.value(e)
@@ -293,20 +323,22 @@ class Writer:
             if x.kind == "decimal" and kind.name == "decimal" and kind.scale > x.scale and not df.filter(value.cast(x.spark_type) != value).isEmpty():
                 raise StrataError("TYPE_MISMATCH", f"{c} keeps {x.scale} fraction digits", "ROUND the value")
 
-    def check_unique(self, state: State, name: str, t: Table, key: tuple[str, ...]) -> None:
-        rows = self.chunks.read(t, state.chunks[name]).select(*key).dropna()
-        twice = rows.groupBy(*key).count().filter("count > 1").limit(1).collect()
+    def check_unique(self, state: State, name: str, t: Table, key: tuple[str, ...], added: list) -> None:
+        """No key of the files added stands twice in them or in another file."""
+        fresh = {c.path for c in added}
+        mine = self.chunks.read(t, added).select(*key).dropna()
+        others = self.chunks.read(t, [c for c in state.chunks[name] if c.path not in fresh]).select(*key)
+        twice = mine.groupBy(*key).count().filter("count > 1").limit(1).collect() or others.join(mine, list(key), "left_semi").limit(1).collect()
         if twice:
             raise _conflict(t, name, key, twice[0].asDict())
 
     def delete(self, state: State, s: n.Delete) -> Outcome:
-        t, lower, df, hit, files, touched = self._matched(state, s.table, s.where)
+        t, lower, df, hit, files, touched, count = self._matched(state, s.table, s.where)
         if not touched:
             return Outcome(state, self.returning(state, s, self.chunks.empty(t)), 0)
         df = df.filter(_in_files(files))
         plain = [field_of(f"{s.table}.{c}").alias(c) for c in t.columns]
         gone = df.filter(hit).select(*plain)
-        count = gone.count()
         kept = df.filter(~hit).select(*plain)
         added = [] if count == sum(c.rows for c in files) else self.chunks.stage(s.table, t, kept)
         return Outcome(self.replace(state, s.table, touched, added), self.returning(state, s, gone), count)
@@ -348,6 +380,12 @@ class Writer:
         return Outcome(self.replace(state, name, set(), added) if count else state, None, count)
 
 
+def needs_format(state: State, columns: dict[str, Declared]) -> None:
+    """Decimals and ordered statements need the top format; older readers must not meet them unawares."""
+    if state.format < TOP_FORMAT and any(x.kind == "decimal" for x in columns.values()):
+        raise StrataError("FORMAT_REQUIRED", f"decimal columns need format {TOP_FORMAT}, the store has {state.format}", "run upgrade() once")
+
+
 class _Excluded(Scope):
     """In DO UPDATE a bare name is the stored row's."""
 

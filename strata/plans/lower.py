@@ -258,7 +258,14 @@ def _meet(a: Column, ka: Kind, left: n.Expr, b: Column, kb: Kind, right: n.Expr)
 
 
 def _single(catalog: Catalog, select: n.Select, scope: Scope):
-    """The value of a scalar subquery, its kind and its Spark type; at most two rows are fetched."""
+    """The value of a scalar subquery, its kind and its Spark type; run once for a statement, at most two rows are fetched."""
+    known = catalog.__dict__.setdefault("_scalars", {})
+    if id(select) not in known:
+        known[id(select)] = (select, *_run_single(catalog, select, scope))
+    return known[id(select)][1:]
+
+
+def _run_single(catalog: Catalog, select: n.Select, scope: Scope):
     df = lower_select(catalog, select, scope)
     if len(df.columns) != 1:
         raise StrataError("SUBQUERY_SHAPE", f"a scalar subquery gives one column, not {len(df.columns)}")
@@ -276,14 +283,17 @@ def conjuncts(e: n.Expr | None) -> list[n.Expr]:
     return [e]
 
 
-def hints_for(where: n.Expr | None, alias: str, only: bool) -> list[Hint]:
-    """What the condition says of raw columns of one table; `only`: names need no qualifier."""
+def hints_for(where: n.Expr | None, alias: str, only: bool, catalog: Catalog | None = None) -> list[Hint]:
+    """What the condition says of raw columns of one table; `only`: names need no qualifier. Scalar subqueries that ran for the catalog count as values."""
     out, turned = [], {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+    known = getattr(catalog, "_scalars", {})
 
     def mine(e) -> bool:
         return isinstance(e, n.Col) and (e.table == alias or (e.table is None and only))
 
     for c in conjuncts(where):
+        if isinstance(c, n.Binary) and isinstance(c.right, n.Subquery) and id(c.right.select) in known:
+            c = n.Binary(c.op, c.left, n.Lit(known[id(c.right.select)][1], ""))
         match c:
             case n.Binary("=" | "<" | "<=" | ">" | ">=" as op, left, n.Lit(v, _)) if mine(left) and v is not None:
                 out.append(Hint(left.name, op, (v,)))
@@ -340,7 +350,7 @@ class Scan:
             self._filter(where)
 
     def _read(self, source: n.Source, where, only: bool) -> DataFrame:
-        df = self.catalog.frame(source.table, hints_for(where, source.alias, only))
+        df = self.catalog.frame(source.table, hints_for(where, source.alias, only, self.catalog))
         self.scope.tables[source.alias] = {f.name: kind_of(f.dataType) for f in df.schema}
         return df.select(*[bind(field_of(c), f"{source.alias}.{c}") for c in df.columns])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -14,9 +13,6 @@ from strata.plans.lower import Hint
 from strata.schema import Table, ulid
 from strata.sources.log import Chunk, Files, State
 
-INDEX_VALUES = 10_000  # a file with more different values is not indexed, and so never skipped by the index
-
-
 def _plain(v):
     return str(v) if isinstance(v, Decimal) else v
 
@@ -30,7 +26,6 @@ class Stats:
 class Chunks:
     def __init__(self, spark: SparkSession, files: Files):
         self.spark, self.files = spark, files
-        self._index: dict[str, list] = {}
 
     def paths(self, chunks: list[Chunk]) -> list[str]:
         return [f"{self.files.uri}/{c.path}" for c in chunks]
@@ -59,59 +54,65 @@ class Chunks:
     # Side indexes
 
     def index(self, name: str, t: Table, column: str, chunks: list[Chunk]) -> dict[str, str]:
-        """Write the different values of each file; returns file -> side file."""
+        """Write the different values of each file to a side table (file, v), sorted by value; returns file -> side folder."""
         if not chunks:
             return {}
-        rows = self.read(t, chunks).select(F.col("_metadata.file_path").alias("f"), F.col(f"`{column}`").cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-        few = rows.groupBy("f").count().filter(F.col("count") <= INDEX_VALUES).select("f")
-        got: dict[str, list] = {}
-        for r in rows.join(few, "f").groupBy("f").agg(F.sort_array(F.collect_list("v")).alias("v")).toLocalIterator():
-            got[r.f] = list(r.v)
-        many = {r.f for r in rows.select("f").distinct().join(few, "f", "left_anti").collect()}
-        out = {}
-        for c in chunks:
-            at = next((f for f in got if f.endswith(c.path)), None)
-            if at is None and any(f.endswith(c.path) for f in many):
-                continue
-            side = f"index/{name}/{column}/{ulid()}.json"
-            self.files.create(side, json.dumps(got.get(at, [])).encode())
-            out[c.path] = side
-        return out
-
-    def _values(self, side: str) -> list | None:
-        if side not in self._index:
-            data = self.files.read(side)
-            self._index[side] = None if data is None else json.loads(data)
-        return self._index[side]
+        folder = f"index/{name}/{column}/{ulid()}"
+        rows = self.read(t, chunks).select(F.col("_metadata.file_name").alias("file"), F.col(f"`{column}`").alias("v")).filter("v IS NOT NULL").distinct()
+        rows.sortWithinPartitions("v").write.parquet(f"{self.files.uri}/{folder}")
+        return {c.path: folder for c in chunks}
+
+    def holding(self, t: Table, h: Hint, sides: dict[str, str]) -> set[str] | None:
+        """File names of indexed files that hold a value a hint admits, found by Spark in the side tables; None if the hint says nothing."""
+        x = t.columns[h.column]
+        try:
+            for v in h.values:
+                _compare_as(x.kind, v)
+        except (TypeError, ValueError, ArithmeticError):
+            return None
+        if x.kind == "boolean" or any(isinstance(v, bool) for v in h.values) or not sides:
+            return None
+        wide = "string" if x.kind not in ("integer", "decimal", "real") else "double"
+        v, values = F.col("v"), [F.lit(str(v)).try_cast(wide) if wide == "double" else F.lit(v) for v in h.values]
+        whole = x.kind == "integer" and all(isinstance(k, int) for k in h.values)
+        values = [F.lit(k) for k in h.values] if whole else values
+        v = v if whole else v.cast(wide)
+        exact = whole or wide == "string"  # as doubles, neighbours may be equal
+        first = values[0] if values else F.lit(None)
+        below, above = (v < first, v > first) if exact else (v <= first, v >= first)
+        hit = {"=": v == first, "<": below, "<=": v <= first, ">": above, ">=": v >= first, "in": v.isin(*values)}[h.op]
+        rows = self.spark.read.schema(f"file string, v {x.spark_type.simpleString()}").parquet(*sorted({f"{self.files.uri}/{p}" for p in sides.values()}))
+        return {r.file for r in rows.filter(hit).select("file").distinct().collect()}  # one name for each file at most
 
     # Pruning
 
     def prune(self, name: str, state: State, hints: list[Hint]) -> list[Chunk]:
-        t, out = state.schema[name], []
-        indexes = state.indexes.get(name, {})
-        for c in state.chunks.get(name, []):
-            if all(self._may(t, c, h, indexes) for h in hints):
-                out.append(c)
+        """Files that may hold rows the hints admit: zone maps first, then side indexes over what is left."""
+        t, indexes = state.schema[name], state.indexes.get(name, {})
+        out = [c for c in state.chunks.get(name, []) if all(self._may(t, c, h) for h in hints)]
+        for h in hints:
+            sides = {c.path: p for c in out if (p := indexes.get(h.column, {}).get(c.path))} if h.column in t.columns and len(out) > 1 else {}
+            have = self.holding(t, h, sides) if sides else None
+            if have is not None:
+                out = [c for c in out if c.path not in sides or c.path.rsplit("/", 1)[1] in have]
         return out
 
-    def _may(self, t: Table, c: Chunk, h: Hint, indexes: dict) -> bool:
-        if h.column not in t.columns:
+    @staticmethod
+    def _may(t: Table, c: Chunk, h: Hint) -> bool:
+        if h.column not in t.columns or h.column not in c.zones:
             return True
         kind = t.columns[h.column].kind
         try:
             values = [_compare_as(kind, v) for v in h.values]
+            low, high = (None if v is None else _compare_as(kind, v) for v in c.zones[h.column])
         except (TypeError, ValueError, ArithmeticError):
             return True
-        if h.column in c.zones:
-            low, high = (None if v is None else _compare_as(kind, v) for v in c.zones[h.column])
-            if low is None or not _overlaps(h.op, values, low, high):
-                return False
-        side = indexes.get(h.column, {}).get(c.path)
-        if side is not None and (found := self._values(side)) is not None:
-            have = [_compare_as(kind, v) for v in found]
-            if not any(_overlaps(h.op, values, v, v) for v in have):
-                return False
-        return True
+        if low is None:
+            return False
+        try:
+            return _overlaps(h.op, values, low, high)
+        except ArithmeticError:  # NaN has no place in the order of Decimals
+            return True
 
 
 def _compare_as(kind: str, v):

@@ -2,20 +2,26 @@
 
 Landed rows lie as JSON files below queue/<table>. The fold is a file stream that takes
 what is there and ends; each micro-batch appends the rows whose key is not stored yet, so
-a batch that runs again, or ids that two batches repeat, change nothing.
+a batch that runs again, or ids that two batches repeat, change nothing. Lines that do
+not parse go to quarantine/<table> as they are, and rows without the key as JSON, before their file goes.
+A fold holds a lease, so that two do not do the same work; were it lost, both would be right.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.plans import nodes as n
 from strata.schema import ulid
-from strata.sources.log import State
+from strata.sources.log import Lease, State
+
+FOLD_TTL_S = 60.0
 
 
 def eligible(db, s) -> bool:
@@ -47,28 +53,41 @@ def pending(db, state: State) -> dict[str, DataFrame]:
     out = {}
     for name in db.files.list("queue"):
         if name in state.schema and any(x.endswith(".json") for x in db.files.list(f"queue/{name}")):
-            out[name] = db.spark.read.schema(state.schema[name].struct).json(f"{db.files.uri}/queue/{name}/*.json")
+            out[name] = db.spark.read.schema(state.schema[name].struct).option("mode", "DROPMALFORMED").json(f"{db.files.uri}/queue/{name}/*.json")
     return out
 
 
-def fold(db) -> int:
+def fold(db, wait_s: float = 30.0) -> int:
     """Move landed rows into the tables; returns how many were new."""
-    total = 0
-    for name in db.files.list("queue"):
-        names = [x for x in db.files.list(f"queue/{name}") if x.endswith(".json")]
-        if not names or name not in db.log.state().schema:
-            continue
-        total += _fold_table(db, name)
-        for x in names:
-            db.files.delete(f"queue/{name}/{x}")
-    return total
+    if not any(db.files.list(f"queue/{name}") for name in db.files.list("queue")):
+        return 0
+    lease, until = Lease(db.files, "fold", FOLD_TTL_S), time.monotonic() + wait_s
+    while not lease.take() and time.monotonic() < until:
+        time.sleep(0.05)
+    try:
+        total = 0
+        for name in db.files.list("queue"):
+            names = [x for x in db.files.list(f"queue/{name}") if x.endswith(".json")]
+            if not names or name not in db.log.state().schema:
+                continue
+            total += _fold_table(db, name)
+            for x in names:
+                db.files.delete(f"queue/{name}/{x}")
+        return total
+    finally:
+        lease.release()
 
 
 def _fold_table(db, name: str) -> int:
-    t, added = db.log.state().schema[name], []
+    t, added, run = db.log.state().schema[name], [], ulid()
+    while (corrupt := f"_line{len(added)}") in t.columns:
+        added.append(0)
+    added.clear()
 
-    def batch(df: DataFrame, _: int) -> None:
-        rows = df.filter(F.col(f"`{t.key}`").isNotNull()).persist()
+    def batch(df: DataFrame, k: int) -> None:
+        df = df.persist()
+        bad = F.col(corrupt).isNotNull() | F.col(f"`{t.key}`").isNull()
+        rows = df.filter(~bad).select(*[f"`{c}`" for c in t.columns])
 
         def plan(state: State) -> State | None:
             made = db.writer.append(state, name, rows, skip_existing=True)
@@ -76,11 +95,16 @@ def _fold_table(db, name: str) -> int:
             return made.state if made.count else None
 
         try:
+            lost = df.filter(bad)
+            if not lost.isEmpty():
+                text = F.coalesce(F.col(corrupt), F.to_json(F.struct(*[f"`{c}`" for c in t.columns])))
+                lost.select(text.alias("value")).write.mode("overwrite").text(f"{db.files.uri}/quarantine/{name}/{run}-{k}")
             db._commit(plan)
         finally:
-            rows.unpersist()
+            df.unpersist()
 
-    stream = db.spark.readStream.schema(t.struct).json(f"{db.files.uri}/queue/{name}")
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{db.files.uri}/_fold/{name}").trigger(availableNow=True).start()
+    stream = db.spark.readStream.schema(T.StructType([*t.struct.fields, T.StructField(corrupt, T.StringType())])).option("columnNameOfCorruptRecord", corrupt).json(f"{db.files.uri}/queue/{name}")
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{db.files.uri}/_fold/{name}-{run}").trigger(availableNow=True).start()
     query.awaitTermination()
+    db.files.delete(f"_fold/{name}-{run}")
     return sum(added)

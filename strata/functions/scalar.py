@@ -169,7 +169,8 @@ def aggregate(name: str, c: Column | None, kind: Kind, distinct: bool, separator
         return (F.min(c) if name == "MIN" else F.max(c)), kind
     if name == "GROUP_CONCAT":
         text = text_of(c, kind)
-        return (F.listagg_distinct(text, F.lit(separator)) if distinct else F.listagg(text, F.lit(separator))), TEXT
+        values = F.collect_set(text) if distinct else F.collect_list(text)
+        return F.when(F.size(values) > 0, F.array_join(F.array_sort(values), separator)), TEXT  # in text order, so that reruns agree
     x, kind = number_of(c, kind)
     if name == "SUM":
         return (F.sum_distinct(x) if distinct else F.sum(x)), kind

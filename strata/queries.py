@@ -91,8 +91,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     ),
     "agg_min_max_avg": "SELECT c_mktsegment, MIN(c_acctbal) AS low, MAX(c_name) AS last, ROUND(AVG(c_acctbal), 4) AS mean FROM customer GROUP BY c_mktsegment",
     "agg_group_concat": (
-        "SELECT r.r_name, GROUP_CONCAT(r.r_regionkey, '; ') AS keys FROM region r GROUP BY r.r_name",
-        "SELECT r_name, string_agg(CAST(r_regionkey AS VARCHAR), '; ') AS keys FROM region GROUP BY r_name",
+        "SELECT r.r_name, GROUP_CONCAT(n.n_name, '; ') AS names, GROUP_CONCAT(DISTINCT n.n_regionkey) AS keys, GROUP_CONCAT(NULLIF(n.n_nationkey, 7)) AS ids FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
+        """SELECT r_name, string_agg(n_name, '; ' ORDER BY n_name) AS names, string_agg(DISTINCT CAST(n_regionkey AS VARCHAR)) AS keys,
+           string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY CAST(n_nationkey AS VARCHAR)) FILTER (n_nationkey <> 7) AS ids FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     ),
     "having_alias": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING n > 12",
     "having_aggregate": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING MAX(o_totalprice) > 300000 AND COUNT(*) > 5",
@@ -146,12 +147,34 @@ SQL: dict[str, str | tuple[str, str]] = {
         "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) * 1.08 AS gross, CAST(o_totalprice AS DECIMAL(18,2)) + 0.005 AS more FROM orders",
     ),
     "dec_avg": (
-        "SELECT o_orderstatus, CAST(AVG(price) AS real) AS mean FROM orders_exact GROUP BY o_orderstatus",
-        "SELECT o_orderstatus, round(avg(CAST(o_totalprice AS DECIMAL(18,2))), 6) AS mean FROM orders GROUP BY 1",
+        "SELECT o_orderstatus, AVG(price) AS mean FROM orders_exact GROUP BY o_orderstatus",
+        """SELECT o_orderstatus, CAST(CAST(((2 * cents * 10000 + n) // (2 * n)) // 1000000 AS VARCHAR) || '.' || lpad(CAST(((2 * cents * 10000 + n) // (2 * n)) % 1000000 AS VARCHAR), 6, '0') AS DECIMAL(38,6)) AS mean
+           FROM (SELECT o_orderstatus, CAST(sum(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS HUGEINT)) AS HUGEINT) AS cents, CAST(count(*) AS HUGEINT) AS n FROM orders GROUP BY 1)""",
     ),
     "dec_div": (
-        "SELECT o_orderkey, CAST(price / 8 AS real) AS eighth FROM orders_exact",
-        "SELECT o_orderkey, round(CAST(o_totalprice AS DECIMAL(18,2)) / 8, 6) AS eighth FROM orders",
+        "SELECT o_orderkey, price / 7 AS seventh FROM orders_exact",
+        """SELECT o_orderkey, CAST(CAST(((2 * cents * 10000 + 7) // 14) // 1000000 AS VARCHAR) || '.' || lpad(CAST(((2 * cents * 10000 + 7) // 14) % 1000000 AS VARCHAR), 6, '0') AS DECIMAL(38,6)) AS seventh
+           FROM (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS HUGEINT) AS cents FROM orders)""",
+    ),
+    "dec_by_integer": (
+        "SELECT o_orderkey, price * 3 AS three, price + o_orderkey AS more, price - 1 AS less FROM orders_exact",
+        "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) * 3 AS three, CAST(o_totalprice AS DECIMAL(18,2)) + o_orderkey AS more, CAST(o_totalprice AS DECIMAL(18,2)) - 1 AS less FROM orders",
+    ),
+    "filter_is_not_null": (
+        "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NOT NULL AND NULLIF(c.c_nationkey, 3) IS NOT NULL",
+        "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_nationkey <> 3",
+    ),
+    "comment_in_statement": (
+        "SELECT n_name -- the name; 'quoted' too\n FROM nation -- and the table\n WHERE n_regionkey = 1",
+        "SELECT n_name FROM nation WHERE n_regionkey = 1",
+    ),
+    "cast_boolean": (
+        "SELECT n_nationkey, CAST(n_regionkey AS boolean) AS some, CAST('true' AS boolean) AS yes FROM nation",
+        "SELECT n_nationkey, n_regionkey <> 0 AS some, TRUE AS yes FROM nation",
+    ),
+    "now_is_one_moment": (
+        "SELECT n_nationkey, NOW() = CURRENT_TIMESTAMP AS same, NOW() > '2020-01-01' AS later FROM nation",
+        "SELECT n_nationkey, TRUE AS same, TRUE AS later FROM nation",
     ),
     "dec_compare": (
         "SELECT o_orderkey FROM orders_exact WHERE price > 150000.005 AND price <> 200000",

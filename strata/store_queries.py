@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +19,17 @@ from strata.errors import StrataError
 from strata.session import Database
 
 
+@cache
+def _temporary() -> str:
+    """A folder of this process, gone with it."""
+    made = tempfile.mkdtemp(prefix="strata-")
+    atexit.register(shutil.rmtree, made, True)
+    return made
+
+
 def fresh(spark: SparkSession, schema: dict[str, S.Table], **options) -> Database:
     """A new database in the folder that all machines share, or a temporary one without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strata-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary()
     return Database(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex[:12]}", schema, **options)
 
 
@@ -284,6 +295,57 @@ def null_keys_never_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.query("SELECT c.id, n.n_name FROM customers c LEFT JOIN nations n ON c.nation = n.n_nationkey")
 
 
+def parameters_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded(spark, sf_dir).query("SELECT id, name FROM customers WHERE nation IN (?, ?) AND segment = ? AND balance > ?", 3, 5, "BUILDING", 100.5)
+
+
+def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inspect() and current_version() say of a store after three versions."""
+    db = loaded(spark, sf_dir)
+    db.query("DELETE FROM customers WHERE nation = 3")
+    found = db.inspect()
+    rows = [(t, x["rows"], len(x["columns"]), ",".join(x["indexes"]), found["version"] == db.current_version()) for t, x in found["tables"].items()]
+    return spark.createDataFrame(rows, "name string, n_rows long, n_columns long, indexes string, latest boolean")
+
+
+def generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that the store gives: different, of the declared form, in the order of the rows."""
+    db = fresh(spark, S.define({"notes": {"id": S.uuid().primary_key(), "n": S.integer()}}))
+    db.query("INSERT INTO notes (n) VALUES " + ", ".join(f"({k})" for k in range(50)))
+    return db.query("SELECT COUNT(DISTINCT id) AS ids, MIN(LENGTH(id)) AS low, MAX(LENGTH(id)) AS top, COUNT(DISTINCT SUBSTR(id, 15, 1)) AS kinds FROM notes")
+
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made, extended, filled and read; another made and dropped."""
+    db = loaded(spark, sf_dir)
+    db.query("CREATE TABLE rates (k integer PRIMARY KEY, rate decimal(10, 2), note text UNIQUE)")
+    db.query("ALTER TABLE rates ADD COLUMN extra real")
+    db.query("INSERT INTO rates (k, rate, note) VALUES (3, 1.5, 'three'), (4, 2, NULL), (5, NULL, NULL)")
+    db.query("CREATE TABLE gone (k integer PRIMARY KEY)")
+    db.query("DROP TABLE gone")
+    return db.query("SELECT c.id, r.rate, r.note, r.extra FROM customers c JOIN rates r ON c.nation = r.k")
+
+
+def unique_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column and a pair of columns that are unique; NULL never conflicts."""
+    db = fresh(spark, {})
+    db.query("CREATE TABLE people (id integer PRIMARY KEY, email text UNIQUE)")
+    out = []
+    for k, sql in enumerate((
+        "INSERT INTO people (id, email) VALUES (1, 'a'), (2, NULL), (3, NULL)",
+        "INSERT INTO people (id, email) VALUES (4, 'a')",
+        "INSERT INTO people (id, email) VALUES (1, 'b')",
+        "UPDATE people SET email = 'a' WHERE id = 2",
+        "INSERT INTO people (id, email) VALUES (9, 'a') ON CONFLICT (email) DO UPDATE SET id = people.id + 10",
+        "UPDATE people SET email = 'c' WHERE id > 1 AND email IS NULL",
+    )):
+        try:
+            out.append((k, str(db.query(sql))))
+        except StrataError as e:
+            out.append((k, e.code))
+    return spark.createDataFrame(out, "step int, outcome string")
+
+
 # Statements the dialect refuses, and their codes.
 REFUSED = {
     "SELECT n_name FROM nation RIGHT JOIN region ON nation.n_regionkey = region.r_regionkey": "UNSUPPORTED_FEATURE",
@@ -321,6 +383,19 @@ REFUSED = {
     "CREATE TABLE u (a geometry)": "UNKNOWN_TYPE",
     "DROP INDEX ON nation(n_name)": "INDEX_NOT_FOUND",
     "ALTER TABLE nation ADD COLUMN n_name text": "DUPLICATE_COLUMN",
+    "SELECT n.n_name FROM nation n JOIN region r ON n.n_regionkey = n.n_regionkey": "INVALID_JOIN_CONDITION",
+    "SELECT p.n_name FROM nation p WHERE p.n_regionkey IN (SELECT r.r_regionkey FROM region r WHERE r.r_regionkey = p.n_regionkey)": "UNKNOWN_TABLE",
+    "SELECT m.id FROM money m JOIN money k ON m.a = k.b": "TYPE_MISMATCH",
+    "SELECT a + r AS x FROM money": "TYPE_MISMATCH",
+    "SELECT a * 1.5e2 AS x FROM money": "TYPE_MISMATCH",
+    "INSERT INTO money (id, a) VALUES (1, 1.005)": "TYPE_MISMATCH",
+    "SELECT COUNT(MAX(n_name)) AS n FROM nation": "AGGREGATE_MISPLACED",
+    "SELECT COUNT(*) AS n FROM nation GROUP BY COUNT(*)": "AGGREGATE_MISPLACED",
+    "INSERT INTO nation (n_nationkey, n_name) VALUES (77)": "VALUE_COUNT_MISMATCH",
+    "INSERT INTO nation (n_nationkey) VALUES (1) ON CONFLICT (n_nationkey) DO UPDATE SET n_name = 'x' WHERE n_regionkey = 1": "UNSUPPORTED_FEATURE",
+    "ALTER TABLE nation DROP COLUMN n_name": "UNSUPPORTED_FEATURE",
+    "CREATE INDEX ON nation(n_name, n_regionkey)": "UNSUPPORTED_FEATURE",
+    "SELECT n_name FROM nation; SELECT r_name FROM region": "MULTIPLE_STATEMENTS",
 }
 
 
@@ -329,6 +404,7 @@ def refused_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = fresh(spark, {})
     for name, key in (("nation", "n_nationkey"), ("region", "r_regionkey")):
         db.create_from(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
+    db.query("CREATE TABLE money (id integer PRIMARY KEY, a decimal(10, 2), b decimal(10, 4), r real)")
     version, out = db.current_version(), []
     for sql in REFUSED:
         try:
@@ -344,7 +420,8 @@ def refused_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (dml_insert_upsert, dml_update_where, dml_delete_where, upsert_do_nothing, time_travel_before_delete, rollback_restores, alter_add_column_nulls, txn_atomic, zone_pruned_range, index_pruned_equality, subquery_pruned,
     fold_idempotent, overlay_before_fold, barrier_folds_first, returning_update, returning_delete, returning_insert, subquery_in_dml, as_of_a_moment,
     vacuum_keeps_the_latest, schemaless_table, increments, index_follows_changes, sequence_fill, ordered_statements, grouped_commits, upgraded_store,
-    exported_csv, exported_json, null_keys_never_join, refused_statements)}
+    exported_csv, exported_json, null_keys_never_join, parameters_bound, inspected, generated_ids, definitions, unique_conflicts,
+    refused_statements)}
 
 _C = "c_custkey AS id, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance, CAST(c_nationkey AS BIGINT) AS nation FROM customer"
 _ALL = f"SELECT {_C}"
@@ -387,5 +464,11 @@ ORACLE_SQL = {
     "exported_csv": _ALL,
     "exported_json": _ALL,
     "null_keys_never_join": "SELECT c_custkey AS id, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_nationkey >= 5",
+    "parameters_bound": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_nationkey IN (3, 5) AND c_mktsegment = 'BUILDING' AND c_acctbal > 100.5",
+    "inspected": "SELECT 'customers' AS name, count(*) AS n_rows, 5::BIGINT AS n_columns, 'segment' AS indexes, TRUE AS latest FROM customer WHERE c_nationkey <> 3",
+    "generated_ids": "SELECT 50::BIGINT AS ids, 36::BIGINT AS low, 36::BIGINT AS top, 1::BIGINT AS kinds",
+    "definitions": """SELECT c_custkey AS id, rate, note, CAST(NULL AS DOUBLE) AS extra FROM customer
+        JOIN (VALUES (3, CAST(1.5 AS DECIMAL(10,2)), 'three'), (4, 2, NULL), (5, NULL, NULL)) r(k, rate, note) ON c_nationkey = k""",
+    "unique_conflicts": "SELECT * FROM (VALUES (0, '3'), (1, 'UNIQUE_CONFLICT'), (2, 'PRIMARY_KEY_CONFLICT'), (3, 'UNIQUE_CONFLICT'), (4, '1'), (5, 'UNIQUE_CONFLICT')) t(step, outcome)",
     "refused_statements": "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(q.replace("'", "''"), code) for q, code in REFUSED.items()) + ") t(statement, code)",
 }

@@ -420,3 +420,17 @@ def test_exports_to_a_folder_are_written_by_tasks(db, spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c" / "notes")).filter("id = 'a'").first().body == 'x,"y'
     script = db.export("postgres", str(tmp_path / "p.sql"))
     assert script == str(tmp_path / "p.sql") and open(script).read() == db.export("postgres")
+
+
+def test_kept_files_are_never_stale_and_bounded(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "kept"), S.define({"t": {"k": S.integer().primary_key(), "v": S.text()}}), cache_rows=25)
+    db.load("t", spark.range(10).selectExpr("id AS k", "'old' AS v"))
+    assert [db.query("SELECT COUNT(*) AS n FROM t WHERE v = 'old'").first().n for _ in range(2)] == [10, 10] and len(db.chunks._kept) == 1
+    db.query("UPDATE t SET v = 'new' WHERE k < 4")
+    assert db.query("SELECT COUNT(*) AS n FROM t WHERE v = 'old'").first().n == 6
+    db.load("t", spark.range(100, 110).selectExpr("id AS k", "'old' AS v"))
+    assert db.query("SELECT COUNT(*) AS n FROM t").first().n == 20 and sum(n for n, _ in db.chunks._kept.values()) <= 25
+    db.query("ALTER TABLE t ADD COLUMN w text")
+    assert db.query("SELECT w FROM t WHERE k = 1").collect() == [(None,)]
+    db.load("t", spark.range(200, 300).selectExpr("id AS k", "'x' AS v"))
+    assert db.query("SELECT COUNT(*) AS n FROM t").first().n == 120

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.bytewords import hash_runs, mix, utf8
+from strata.llm.scratch import bound_batches
 
 # Words that are units after a number.
 UNITS = """percent km m cm mm mi miles mile feet foot ft inches inch yards kg g mg lb lbs pounds ounces oz tons l ml
@@ -285,6 +286,7 @@ class Items:
 
 def _tables(benchmark: DataFrame, window: int, block_chars: int, case_blind: bool):
     """Broadcast probe tables of blocks of the benchmark, of about block_chars characters each."""
+    bound_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.scratch import bound_batches
+
 UND = "und"
 PIECE = 1 << 20  # characters of a text that are worked on at a time
 
@@ -112,6 +114,7 @@ def fit(docs: DataFrame, learn: Column, dims: int = 4096, per_lang: int = 3, sam
     A centroid's radius is `slack` times the cosine that 99 % of its own texts reach, so
     only texts far from anything learned are rejected.
     """
+    bound_batches(docs.sparkSession)
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not sizes:
@@ -161,6 +164,7 @@ def held_out() -> Column:
 
 def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` of df, then lang_pred, score, rejected. Reads no column but text."""
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # dims x centroids floats, set by parameters
 
     def run(batches):
@@ -183,6 +187,7 @@ def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
 def recognised(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of df that the model does not reject, with all columns, whatever their names."""
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # dims x centroids floats, set by parameters
     at = df.columns.index(text)
 

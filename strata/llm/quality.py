@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.bytewords import word_hashes
+from strata.llm.scratch import bound_batches
 
 TRIGRAMS = 1 << 16  # buckets of byte trigrams
 WORD_VALUE = 3.0  # of a word that occurs, beside trigrams scaled to length 1
@@ -120,6 +121,7 @@ def fit_ordinal(at: list[np.ndarray], grades: np.ndarray, n_grades: int, word_bi
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, word_bits: int = 20, sample: int = 8000) -> Model:
     """docs (doc_id, text), ratings (doc_id, grade in 0..n_grades-1)."""
+    bound_batches(docs.sparkSession)
     least = ratings.filter(F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     n = least.count()
     rate = int(min(1.0, 1.1 * sample / max(1, n)) * (1 << 30))
@@ -148,6 +150,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, select_grade: int = 2, keep_from: float = 0.4) -> DataFrame:
     """doc_id, expected_grade, tail_prob (of select_grade), kept: one row for each row of docs."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^word_bits floats, set by a parameter
 
     def run(batches):

@@ -31,10 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let no batch of rows that goes to Python hold more than about BATCH_BYTES: a fixed number of rows would be far more where texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(key)).rstrip("bB"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """A folder of this run below the shared one."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/strata-{label}-{uuid.uuid4().hex[:12]}"
         self._n, self._tables = 0, []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.encode import load
-from strata.llm.scratch import Scratch
+from strata.llm.scratch import Scratch, bound_batches
 
 NO_ID = -(1 << 63)
 SHARD_BYTES = 16 << 20  # of text, at least
@@ -78,6 +78,7 @@ def write_tokens(docs: DataFrame, out_dir: str, vocabulary: str, end_id: int = 2
 
     Returns the manifest (lazy: running it writes the files, so save it once).
     """
+    bound_batches(docs.sparkSession)
     fs, base = _fs(out_dir)
     fs.create_dir(base, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.encode import load
+from strata.llm.scratch import bound_batches
 
 GROUP = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -133,6 +134,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
             columns = [*(batch.column(k) for k in range(3)), pa.array([version] * len(n), pa.string()), batch.column(3), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *GROUP, "n_words", "n_tokens"])
 
+    bound_batches(docs.sparkSession)
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), words, "text")
     return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_words long, n_tokens long")

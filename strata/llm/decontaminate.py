@@ -2,8 +2,8 @@
 
 A text becomes a sequence of template tokens: runs of letters, lower-cased, and in their
 place typed placeholders for numbers (NUM, with inner separators), for units after a
-number (UNIT) and for capitalised words (NAME, in a row taken as one; a word that opens a
-sentence counts too, as it may be a name and its place tells nothing after re-wrapping).
+number (UNIT) and for capitalised words (NAME, in a row taken as one; in the probe a word
+that opens a sentence counts too, as it may be a name).
 Typographic quotes, dashes and spaces are signs like those of ASCII.
 Windows of `window` template tokens are hashed. The benchmark's windows form a hash table
 that documents probe; where the benchmark is larger than `block_chars`, it is taken in
@@ -48,6 +48,8 @@ _KIND = np.zeros(256, np.int8)
 _KIND[48:58] = 1
 _KIND[65:91] = _KIND[97:123] = 2
 _KIND[128:] = 2
+_END = np.zeros(256, bool)
+_END[[ord(c) for c in ".!?\n\r|"]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(9, 14)]] = True
 
@@ -140,15 +142,20 @@ class Parsed:
         last = len(self.data) - 1
         return _CAPITAL[(self.data[np.minimum(at, last)].astype(np.int32) << 8) + self.data[np.minimum(at + 1, last)]]
 
-    def template(self, names: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(template token hashes, slot values; 0 where no slot); NAME only with `names`."""
+    def template(self, names: bool, openers: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(template token hashes, slot values; 0 where no slot); NAME only with `names`, for words that open a sentence only with `openers`."""
         h = self.hashes
         if not len(h):
             return h, h
         slot, joined = self.number | self.unit, self.joined
         token = np.where(self.number, NUM, np.where(self.unit, UNIT, h))
         if names:
-            at = np.flatnonzero(self._capital(self.starts) & ~slot)
+            at = self._capital(self.starts) & ~slot
+            if not openers:
+                stops = np.flatnonzero(_END[self.data])
+                at[0] = False
+                at[1:] &= np.searchsorted(stops, self.starts[1:]) == np.searchsorted(stops, self.ends[:-1])
+            at = np.flatnonzero(at)
             start, end = self.starts[at], self.ends[at]
             second = start + 1 + (self.data[start] >= 128)
             name = np.zeros(len(h), bool)
@@ -159,9 +166,9 @@ class Parsed:
         return token[lead], np.add.reduceat(np.where(slot, h | np.uint64(1), np.uint64(0)), lead)
 
 
-def template(text, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(template token hashes, slot values; 0 where no slot) of UTF-8 bytes; NAME only with `names`."""
-    return Parsed(text).template(names)
+def template(text, names: bool = True, openers: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(template token hashes, slot values; 0 where no slot) of UTF-8 bytes, as Parsed.template() gives them."""
+    return Parsed(text).template(names, openers)
 
 
 def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
@@ -184,7 +191,7 @@ class Items:
         self.window, self.ids, self.values, self.first, self.needs, self.long = window, [], [], [], [], []
         hashes, owner = [], []
         for k, (item_id, text) in enumerate(items):
-            tokens, value = template(composed(text), names)
+            tokens, value = template(composed(text), names, openers=True)
             h, first = np.unique(window_hashes(tokens, window), return_index=True)
             if len(h):
                 hashes.append(h)
@@ -220,7 +227,7 @@ class Items:
         """find(), by the item's place in the list given."""
         if not len(self.all):
             return {}
-        tokens, value = parsed.template(self.names)
+        tokens, value = parsed.template(self.names, openers=True)
         h = window_hashes(tokens, self.window)
         at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.intp)])
         if not len(at):

@@ -53,25 +53,26 @@ def terms_of(vocabulary: dict[str, int] | DataFrame) -> dict[str, int]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def automaton(terms: dict[str, int]):
+def automaton(strict: dict[str, int], soft: dict[str, int]):
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    for term, weight in terms.items():
-        out.add_word(term, (term, weight))
+    for kind, terms in ((True, strict), (False, soft)):
+        for term, weight in terms.items():
+            out.add_word(term, (term, kind, weight))
     out.make_automaton()
     return out
 
 
-def hits(auto, text: str) -> dict[str, tuple[int, int]]:
-    """Terms that stand alone in text: term -> (weight, count)."""
-    found: dict[str, tuple[int, int]] = {}
+def hits(auto, text: str) -> dict[str, tuple[bool, int, int]]:
+    """Terms that stand alone in text: term -> (strict, weight, count)."""
+    found: dict[str, tuple[bool, int, int]] = {}
     if not len(auto):
         return found
-    for end, (term, weight) in auto.iter(text):
+    for end, (term, strict, weight) in auto.iter(text):
         start = end - len(term)
         if (start < 0 or not text[start].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
-            found[term] = (weight, found.get(term, (0, 0))[1] + 1)
+            found[term] = (strict, weight, found.get(term, (0, 0, 0))[2] + 1)
     return found
 
 
@@ -95,13 +96,13 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: d
     ruled = parts.withColumn("rule", rule).withColumn("__by_rule", verdict)
 
     def count(batches):
-        auto = automaton(terms)
+        auto = automaton({t: w for t, w in terms.items() if w >= STRICT}, {t: w for t, w in terms.items() if w < STRICT})
         for batch in batches:
-            found = [[w for w, _ in hits(auto, (url or "").translate(_LOWER)).values()] for url in batch.column("__url").to_pylist()]
+            found = [[(s, w) for s, w, _ in hits(auto, (url or "").translate(_LOWER)).values()] for url in batch.column("__url").to_pylist()]
             columns = (
-                [sum(w >= STRICT for w in ws) for ws in found],
-                [sum(w < STRICT for w in ws) for ws in found],
-                [sum(w for w in ws if w < STRICT) for ws in found],
+                [sum(s for s, _ in ws) for ws in found],
+                [sum(not s for s, _ in ws) for ws in found],
+                [sum(w for s, w in ws if not s) for ws in found],
             )
             out = batch.drop_columns(["__url"])
             for name, column in zip(("strict_hits", "soft_hits", "soft_weight"), columns):

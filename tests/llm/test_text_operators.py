@@ -46,7 +46,7 @@ def test_a_word_of_any_length_is_hashed_in_pieces(monkeypatch):
 
 @pytest.mark.parametrize("operator", [lambda d: chosen_path.near_duplicates(d), lambda d: decontaminate.matches(d, d.selectExpr("doc_id AS item_id", "text")), lambda d: quality.score(d, quality.Model(20, np.ones(quality.TRIGRAMS + (1 << 20), bool), np.zeros(quality.TRIGRAMS + (1 << 20), np.float32), np.zeros(2)))])
 def test_a_word_of_thirty_megabytes(spark, operator):
-    docs = spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string").selectExpr("doc_id", "CASE WHEN doc_id = 1 THEN repeat('Ab', 15000000) ELSE text END AS text")
+    docs = spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string").selectExpr("doc_id", "CASE WHEN doc_id = 1 THEN repeat('Ab', 15000000 * CAST(doc_id AS INT)) ELSE text END AS text")
     assert {r[0] for r in operator(docs).collect()} <= {1, 2}
 
 

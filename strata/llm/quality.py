@@ -6,6 +6,12 @@ byte trigrams, these scaled to length 1. Buckets whose share does not differ bet
 grades by `least_z` standard errors have no weight. Expected grade is the sum of the tail probabilities;
 selection uses the tail probability of one grade.
 
+An abusive word can only pull a text toward the grade of abusive texts, and where that lies
+between two others, as in grades_of(), one or two such words in an otherwise sound text
+hardly move it out of the best grade. So a second model of the same kind may veto: its
+order, harm_grades(), has toxic texts at the bottom, and its first tail is the probability
+of not being toxic (`safe_prob`).
+
 Fitted on at most about `sample` graded texts, chosen by a hash of the text. Scores are
 computed for every row from its whole text.
 
@@ -56,7 +62,9 @@ class Model:
     thresholds: np.ndarray
 
     def tails(self, text: str | None) -> np.ndarray:
-        at = buckets(text, self.word_bits)
+        return self.tails_at(buckets(text, self.word_bits))
+
+    def tails_at(self, at: np.ndarray) -> np.ndarray:
         at = at[self.used[at]]
         first = int(np.searchsorted(at, TRIGRAMS))
         w = self.weights[at]
@@ -148,20 +156,35 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).filter(F.col("grade").isNotNull())
 
 
-def score(docs: DataFrame, model: Model, select_grade: int = 2, keep_from: float = 0.4) -> DataFrame:
-    """doc_id, expected_grade, tail_prob (of select_grade), kept: one row for each row of docs."""
+def harm_grades(labels: DataFrame) -> DataFrame:
+    """Three grades in the order of harm: 0 toxic, whatever the quality, 1 poor, 2 sound and clean. A null quality is no rating unless toxic."""
+    q, t = F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0))
+    grade = F.when(t == 1, 0).when(q.isNull(), F.lit(None)).when(q == 0, 1).otherwise(2)
+    return labels.select("doc_id", grade.alias("grade")).filter(F.col("grade").isNotNull())
+
+
+def score(docs: DataFrame, model: Model, select_grade: int = 2, keep_from: float = 0.4, harm: Model | None = None, safe_from: float = 0.5) -> DataFrame:
+    """doc_id, expected_grade, tail_prob (of select_grade), safe_prob, kept: one row for each row of docs.
+
+    With `harm`, a model of harm_grades() with as many word bits, a text below `safe_from` is not kept; without, safe_prob is null.
+    """
+    if harm is not None and harm.word_bits != model.word_bits:
+        raise ValueError("both models need the same word bits")
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^word_bits floats, set by a parameter
+    shared = docs.sparkSession.sparkContext.broadcast((model, harm))  # twice 2^word_bits floats, set by a parameter
 
     def run(batches):
-        m = shared.value
+        m, veto = shared.value
         for batch in batches:
-            text = batch.column(1)
-            tails = [m.tails(text[k].as_py()) for k in range(len(text))]
+            text, tails, safe = batch.column(1), [], []
+            for k in range(len(text)):
+                at = buckets(text[k].as_py(), m.word_bits)
+                tails.append(m.tails_at(at))
+                safe.append(None if veto is None else float(veto.tails_at(at)[0]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([float(t[select_grade - 1]) for t in tails], pa.float64())],
-                ["doc_id", "expected_grade", "tail_prob"],
+                [batch.column(0), *(pa.array(x, pa.float64()) for x in ([float(t.sum()) for t in tails], [float(t[select_grade - 1]) for t in tails], safe))],
+                ["doc_id", "expected_grade", "tail_prob", "safe_prob"],
             )
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, expected_grade double, tail_prob double")
-    return out.withColumn("kept", F.col("tail_prob") >= keep_from)
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, expected_grade double, tail_prob double, safe_prob double")
+    return out.withColumn("kept", (F.col("tail_prob") >= keep_from) & F.coalesce(F.col("safe_prob") >= safe_from, F.lit(True)))

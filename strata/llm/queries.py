@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")))
-    return quality.score(docs, model)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, quality.grades_of(labels))
+    return quality.score(docs, model, harm=quality.fit(docs, quality.harm_grades(labels)))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,30 @@ def test_ordinal_grades(spark):
     assert quality.fit(docs, quality.grades_of(labels.limit(0)), word_bits=8).weights.sum() == 0
 
 
+def test_abusive_words_in_sound_texts_are_vetoed(spark):
+    rng = np.random.default_rng(8)
+    fine, poor, foul = [f"w{k}" for k in range(200)], ["zz!!", "qq$$", "##"], [f"vile{k}" for k in range(8)]
+    rows, marks = [], []
+    for k in range(1200):
+        toxic, low = k % 8 == 1, k % 8 == 2
+        rows.append((k, " ".join([*rng.choice(fine, 60), *(rng.choice(foul, int(rng.integers(1, 4))) if toxic else []), *(rng.choice(poor, 20) if low else [])])))
+        marks.append((k, None if k == 9 else int(not low), int(toxic)))
+    docs = spark.createDataFrame([*rows, (5000, None), (5001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([m for m in marks if m[0] % 3], "doc_id long, quality int, toxic int")
+    graded = {r.doc_id: r.grade for r in quality.harm_grades(spark.createDataFrame([(1, None, 1), (2, None, 0), (3, 0, 1), (4, 0, None), (5, 1, 0)], labels.schema)).collect()}
+    assert graded == {1: 0, 3: 0, 4: 1, 5: 2}
+    model, harm = (quality.fit(docs, f(labels), word_bits=16) for f in (quality.grades_of, quality.harm_grades))
+    got = {r.doc_id: r for r in quality.score(docs, model, harm=harm).collect()}
+    assert all(r.kept == (r.tail_prob >= 0.4 and r.safe_prob >= 0.5) for r in got.values())
+    held = [k for k in range(0, 1200, 3)]
+    assert np.mean([got[k].kept for k in held if k % 8 == 1]) <= 0.05
+    assert np.mean([got[k].safe_prob >= 0.5 for k in held if k % 8 != 1]) >= 0.98
+    assert got[5000].safe_prob == got[5001].safe_prob == pytest.approx(harm.tails(None)[0])
+    assert all(r.safe_prob is None and r.kept == (r.tail_prob >= 0.4) for r in quality.score(docs, model).collect())
+    with pytest.raises(ValueError):
+        quality.score(docs, model, harm=quality.Model(4, harm.used, harm.weights, harm.thresholds))
+
+
 # Benchmark
 
 

@@ -23,6 +23,7 @@ from; of several ratings of one doc the lowest grade counts; an empty table give
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,24 +130,35 @@ def fit_ordinal(at: list[np.ndarray], grades: np.ndarray, n_grades: int, word_bi
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, word_bits: int = 20, sample: int = 8000) -> Model:
     """docs (doc_id, text), ratings (doc_id, grade in 0..n_grades-1)."""
+    return fit_each(docs, [ratings], n_grades, word_bits, sample)[0]
+
+
+def fit_each(docs: DataFrame, ratings: list[DataFrame], n_grades: int = 3, word_bits: int = 20, sample: int = 8000) -> list[Model]:
+    """A model for each table of ratings, as fit() takes them, from one sample of the documents that any of them rates and one pass over the texts."""
     bound_batches(docs.sparkSession)
-    least = ratings.filter(F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
+    names = [f"g{k}" for k in range(len(ratings))]
+    rated = reduce(DataFrame.union, [r.filter(F.col("grade").between(0, n_grades - 1)).select("doc_id", "grade", F.lit(k).alias("k")) for k, r in enumerate(ratings)])
+    least = rated.groupBy("doc_id").agg(*(F.min(F.when(F.col("k") == k, F.col("grade"))).cast("int").alias(g) for k, g in enumerate(names)))
     n = least.count()
     rate = int(min(1.0, 1.1 * sample / max(1, n)) * (1 << 30))
     few = least.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < rate)  # at most about `sample` rows: bounded by its parameter
-    known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("text", "grade").agg(F.count(F.lit(1)).alias("n")).select("text", "grade")
+    known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("text", *names).agg(F.xxhash64("text").alias("key")).select("text", "key", *names)
 
     def features(batches):
         for batch in batches:
             text = batch.column("text")
             at = [buckets(text[k].as_py(), word_bits) for k in range(len(text))]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(at, pa.list_(pa.int32()))], ["grade", "at"])
-
-    got = known.mapInArrow(features, "grade int, at array<int>").toArrow()
-    at = [np.asarray(a.values.to_numpy(), np.int32) for a in got.column("at")]
-    grades = got.column("grade").to_numpy().astype(np.intp)
-    order = sorted(range(len(at)), key=lambda k: (at[k].tobytes(), grades[k]))
-    return fit_ordinal([at[k] for k in order], grades[order], n_grades, word_bits)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", *names)), pa.array(at, pa.list_(pa.int32()))], ["key", *names, "at"])
+
+    got = known.mapInArrow(features, f"key long, {', '.join(f'{g} int' for g in names)}, at array<int>").toArrow()
+    at, key = [np.asarray(a.values.to_numpy(), np.int32) for a in got.column("at")], got.column("key").to_pylist()
+    out = []
+    for g in names:
+        grade = got.column(g).to_pylist()
+        once = {(key[k], grade[k]): k for k in range(len(at)) if grade[k] is not None}  # a text counts once for each of its grades
+        order = sorted(once.values(), key=lambda k: (at[k].tobytes(), grade[k]))
+        out.append(fit_ordinal([at[k] for k in order], np.array([grade[k] for k in order], np.intp), n_grades, word_bits))
+    return out
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

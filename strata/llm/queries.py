@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(docs, quality.grades_of(labels))
-    return quality.score(docs, model, harm=quality.fit(docs, quality.harm_grades(labels)))
+    model, harm = quality.fit_each(docs, [quality.grades_of(labels), quality.harm_grades(labels)])
+    return quality.score(docs, model, harm=harm)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,8 @@ def test_abusive_words_in_sound_texts_are_vetoed(spark):
     assert np.mean([got[k].safe_prob >= 0.5 for k in held if k % 8 != 1]) >= 0.98
     assert got[5000].safe_prob == got[5001].safe_prob == pytest.approx(harm.tails(None)[0])
     assert all(r.safe_prob is None and r.kept == (r.tail_prob >= 0.4) for r in quality.score(docs, model).collect())
+    for one, both in zip((model, harm), quality.fit_each(docs, [quality.grades_of(labels), quality.harm_grades(labels)], word_bits=16)):
+        assert (one.used == both.used).all() and (one.weights == both.weights).all() and (one.thresholds == both.thresholds).all()
     with pytest.raises(ValueError):
         quality.score(docs, model, harm=quality.Model(4, harm.used, harm.weights, harm.thresholds))
 
